@@ -21,5 +21,14 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_source_mixing, op8_simhash_dedup)}
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encoded
+
+    arrow_rows(spark)
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op5_source_mixing, op7_bpe, op8_simhash_dedup)}
 ORACLES: dict[str, str] = {}
