@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, table
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokenstore import digests
+
+    arrow_rows(spark)
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -30,5 +39,5 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_source_mixing, op7_bpe, op8_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op5_source_mixing, op7_bpe, op8_simhash_dedup)}
 ORACLES: dict[str, str] = {}
