@@ -94,7 +94,7 @@ def balance(groups: DataFrame, wanted: DataFrame, cap: float = 3.0, ridge: float
     return groups.alias("g").join(dual.alias("d"), F.col("g.source").eqNullSafe(F.col("d.source")), "left").select("g.*", F.coalesce(rate, F.lit(0.0)).alias("rate"), "target")
 
 
-def mix(docs: DataFrame, cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", salt_rows: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", salt_rows: int = 500) -> DataFrame:
     """Returns every row of docs as (id_col, size, source, source_size, target, rate, copies, taken).
 
     size: words of the text (null text: 0).  copies (0..cap) is a whole number of repeats, taken = copies * size.  Documents of one source and
