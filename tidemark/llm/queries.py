@@ -17,6 +17,13 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import edited_likeness
+
+    arrow_rows(spark)
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -39,5 +46,5 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op5_source_mixing, op7_bpe, op8_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op4_fingerprints, op5_source_mixing, op7_bpe, op8_simhash_dedup)}
 ORACLES: dict[str, str] = {}

@@ -79,7 +79,7 @@ def shingle_hashes(word_hash: np.ndarray, row: np.ndarray, rows: int, k: int) ->
     for j in range(k):
         ok = left > j
         step = np.zeros(n, U64)
-        step[: n - j] = word_hash[j:]
+        step[: max(n - j, 0)] = word_hash[j:]
         h = np.where(ok, (h * U64(0xD6E8FEB86659FD93)) ^ (step + U64(j + 1)), h)
         h = np.where(ok, h ^ (h >> U64(29)), h)
     return mix(h[take]), row[take]
