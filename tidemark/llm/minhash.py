@@ -67,7 +67,10 @@ def bins_of(data: np.ndarray, at: np.ndarray, shingle: int = SHINGLE, bins: int
 
 
 def pack(low: np.ndarray, some: np.ndarray, bits: int = BITS) -> list[bytes]:
-    """The lowest ``bits`` of every bin, packed; a text without words has the empty fingerprint."""
+    """The lowest ``bits`` of every bin, packed; a text without words has the empty fingerprint.
+
+    Each bin mixes its own number into the value first, so bins that hold one copied value stay independent."""
+    low = mix(low + np.arange(low.shape[1], dtype=U64) * U64(0x9E3779B97F4A7C15))
     b = np.unpackbits((low & U64((1 << bits) - 1)).astype(np.uint8)[:, :, None], axis=2, bitorder="little")[:, :, :bits]
     packed = np.packbits(b.reshape(len(low), -1), axis=1, bitorder="little")
     return [x.tobytes() if s else b"" for x, s in zip(packed, some)]
