@@ -46,5 +46,19 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op4_fingerprints, op5_source_mixing, op7_bpe, op8_simhash_dedup)}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import deduplicated
+
+    arrow_rows(spark)
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    arrow_rows(spark)
+    return classify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op4_fingerprints, op5_source_mixing, op7_bpe, op8_simhash_dedup, op9_suffix_dedup)}
 ORACLES: dict[str, str] = {}
