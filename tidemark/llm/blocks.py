@@ -130,16 +130,20 @@ def load(path: str, block: int) -> pa.RecordBatch:
         return pa.ipc.open_file(f).read_all().combine_chunks().to_batches()[0]
 
 
-def questions(block: int, hashes: np.ndarray, ranges: int, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """hashes ascending and distinct -> a row (place, block, payload) for each range that the block has hashes in."""
+def range_edges(hashes: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
+    """hashes ascending -> (range, from, to) for each of the equally wide ranges of the hash space that has any."""
     width = ((1 << 64) - 1) // ranges + 1
     edge = np.searchsorted(hashes, np.array([k * width for k in range(1, ranges)], U64))
     edge = np.concatenate(([0], edge, [len(hashes)]))
-    used = np.flatnonzero(np.diff(edge))
-    for k in range(0, len(used), 64):
-        some = used[k : k + 64]
-        blobs = [packed(hashes[edge[r] : edge[r + 1]], *[v[edge[r] : edge[r + 1]] for v in values]) for r in some]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array([block] * len(some), pa.int64()), pa.array(blobs, pa.binary())], ["place", "block", "payload"])
+    for k in np.flatnonzero(np.diff(edge)).tolist():
+        yield k, int(edge[k]), int(edge[k + 1])
+
+
+def questions(block: int, hashes: np.ndarray, ranges: int, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """hashes ascending and distinct -> a row (place, block, payload) for each range that the block has hashes in."""
+    for place, lo, hi in range_edges(hashes, ranges):
+        blob = packed(hashes[lo:hi], *[v[lo:hi] for v in values])
+        yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([block]), pa.array([blob], pa.binary())], ["place", "block", "payload"])
 
 
 QUESTION = "place bigint, block bigint, payload binary"

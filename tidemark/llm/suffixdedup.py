@@ -1,7 +1,7 @@
 """Operator 9: remove repeated passages by a collection's Burrows-Wheeler transform, built column by column.
 
-Every 50-byte string has one anchor: the 16 bytes in it with the least hash (the leftmost of equals).  Neighbouring
-strings with one anchor make up a piece of 50 to 84 bytes, and equal strings lie in pieces of equal anchors.  So pieces
+Every 50-byte string has one anchor: the 20 bytes in it with the least hash (the leftmost of equals).  Neighbouring
+strings with one anchor make up a piece of 50 to 80 bytes, and equal strings lie in pieces of equal anchors.  So pieces
 are dealt by anchor, and each deal is a collection of short documents whose transform is built in memory-sized files:
 each round inserts one symbol of every piece and updates transform and common prefixes (``column_wise``).
 Pieces whose anchor occurs in one document only can match nothing and are left out first.
@@ -16,15 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NULL_ID, QUESTION, answered, load, packed, questions, ranges_for, unpacked, write_blocks
+from .blocks import NULL_ID, QUESTION, answered, load, packed, questions, range_edges, ranges_for, unpacked, write_blocks
 from .common import slices, utf8, written
 from .textkernel import U64, mix, span_hashes
 from .tokenstore import Attempt, open_store
 
 LENGTH = 50
-ANCHOR = 16
-#: Pieces of one collection, on average at most (an anchor's pieces stay together).
-COLLECTION = 8192
+ANCHOR = 20
+#: Pieces of one collection, on average at most (an anchor's pieces stay together), and bytes of text for each deal.
+COLLECTION = 1 << 15
+DEAL_BYTES = 16 << 20
 
 
 # --- anchors and pieces ------------------------------------------------------------------------------------------
@@ -42,9 +43,11 @@ def pieces_of(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[n
     x = data.astype(U64)
     p = 0x9E3779B97F4A7C15
     width = 1
-    while width < ANCHOR:  # hashes of 1, 2, 4, 8, 16 bytes
+    while width * 2 <= ANCHOR:  # hashes of 1, 2, 4, 8, 16 bytes
         x = x[:-width] * U64(pow(p, width, 1 << 64)) + x[width:]
         width *= 2
+    if width < ANCHOR:  # and of all of them, by two that overlap
+        x = x[: width - ANCHOR] * U64(0xD6E8FEB86659FD93) + x[ANCHOR - width :]
     x = mix(x)
     reach, width = length - ANCHOR + 1, 1
     while width * 2 <= reach:
@@ -166,28 +169,27 @@ def least_owner(text: np.ndarray, start: np.ndarray, end: np.ndarray, owner: np.
 # --- the operator ------------------------------------------------------------------------------------------------
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-    """For runs of a block's rows: (bytes, row edges, first row, pieces)."""
-    row = 0
+def _pieces(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(start, end, owner, anchor) of all pieces of a block; places count from the block's first byte."""
+    ids = batch.column("id").to_numpy()
+    out, row, base = [], 0, 0
     for part in slices(batch, "text"):
         data, at = utf8(part.column("text"))
-        yield data, at, row, *pieces_of(data, at)
-        row += part.num_rows
+        start, end, own, anchor = pieces_of(data, at)
+        out.append((start + base, end + base, ids[own + row], anchor))
+        row, base = row + part.num_rows, base + len(data)
+    start, end, owner, anchor = (np.concatenate([o[k] for o in out]) for k in range(4))
+    return start, end, owner, anchor.astype(U64)
 
 
-def _anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(owner: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A block's anchors, distinct and ascending, and whether two documents of the block have it."""
-    ids = batch.column("id").to_numpy()
-    h, d = [], []
-    for _, _, row, _, _, own, anchor in _pieces(batch):
-        h.append(anchor)
-        d.append(ids[own + row])
-    h, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, d))
-    order = np.argsort(h.view(U64) if h.dtype != U64 else h, kind="stable")
-    h, d = h.astype(U64)[order], d[order]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    many = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first) if len(h) else np.zeros(0, bool)
-    return h[first], many
+    order = np.argsort(anchor, kind="stable")
+    h, d = anchor[order], owner[order]
+    if not len(h):
+        return h, np.zeros(0, bool)
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[first], np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
 
 
 def _expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -196,9 +198,6 @@ def _expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(edge - start, n)
 
 
-PIECE = "anchor bigint, piece bigint, bytes binary, owner bigint, block bigint"
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept): each text as UTF-8 bytes without its repeated passages.
 
@@ -214,80 +213,63 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = ranges_for(blocks.bytes // 18, spark)
 
     def ask(block: int, _: list[bytes]) -> Iterator[pa.RecordBatch]:
-        yield from questions(block, _anchors(load(path, block))[0], ranges)
+        _, _, owner, anchor = _pieces(load(path, block))
+        yield from questions(block, _anchors(owner, anchor)[0], ranges)
 
     def shared(hashes: np.ndarray, which: np.ndarray, _: list) -> list[np.ndarray]:
         return [np.bincount(which, minlength=len(hashes)) > 1]
 
     answers = answered(blocks.each(ask, QUESTION), ranges, shared)
 
+    deals = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks.bytes // DEAL_BYTES))
+
     def cut(block: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        """Send off the block's pieces with shared anchors, each text once with its least id; keep their places."""
+        """Deal the block's pieces with shared anchors, each text once with its least id; keep their places."""
         batch = load(path, block)
-        ids = batch.column("id").to_numpy()
-        anchors, many = _anchors(batch)
+        start, end, owner, anchor = _pieces(batch)
+        anchors, many = _anchors(owner, anchor)
         flag = np.concatenate([unpacked(p)[0] for p in payloads]) if payloads else np.zeros(0, bool)
         wanted = anchors[flag | many]
-        place, names, rest, base = [], [], [], 0
-        for data, at, row, start, end, own, anchor in _pieces(batch):
-            if len(wanted):
-                spot = np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)
-                hit = wanted[spot] == anchor
-                start, end, own, anchor = start[hit], end[hit], own[hit], anchor[hit]
-                text = span_hashes(data, start, end)
-                place.append(start + base)
-                names.append(np.stack([text, anchor.astype(U64)]))
-                sizes = end - start
-                raw = data[_expand(start, sizes)]
-                rest.append((ids[own + row], sizes, raw))
-            base += len(data)
-        if not place:
+        if not len(wanted):
             return
-        place, names = np.concatenate(place), np.concatenate(names, axis=1)
-        owner, sizes = np.concatenate([r[0] for r in rest]), np.concatenate([r[1] for r in rest])
-        raw = np.concatenate([r[2] for r in rest])
-        edge = np.concatenate(([0], np.cumsum(sizes)))
-        order = np.lexsort((owner, names[0], names[1]))
-        sorted_names = names[:, order]
+        hit = wanted[np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)] == anchor
+        start, end, owner, anchor = start[hit], end[hit], owner[hit], anchor[hit]
+        data, _ = utf8(batch.column("text"))
+        text = np.concatenate([span_hashes(data[start[k] : end[min(k + 50_000, len(end)) - 1]], start[k : k + 50_000] - start[k], end[k : k + 50_000] - start[k]) for k in range(0, len(start), 50_000)])
+        order = np.lexsort((owner, text, anchor))
         new = np.ones(len(order), bool)
-        new[1:] = (sorted_names[:, 1:] != sorted_names[:, :-1]).any(axis=0)
-        keep = order[new]
-        number = np.empty(len(order), np.int64)
+        new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (text[order][1:] != text[order][:-1])
+        one = order[new]
+        number = np.empty(len(order), np.uint32)
         number[order] = np.cumsum(new) - 1
         file = Attempt(path, f"pieces-{block}.bin")
-        file.out.write(packed(place, sizes.astype(np.uint8), number.astype(np.uint32)))
+        file.out.write(packed(start, number))
         file.close()
-        for k in range(0, len(keep), 20_000):
-            some = keep[k : k + 20_000]
-            n = sizes[some]
-            body = raw[_expand(edge[some], n)]
-            off = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-            texts = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(body.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(names[1, some].view(np.int64)), pa.array(np.arange(k, k + len(some))), texts, pa.array(owner[some]), pa.array(np.full(len(some), block))], ["anchor", "piece", "bytes", "owner", "block"])
-
-    sent = written(blocks.each(cut, PIECE, answers), "pieces")
+        for place, lo, hi in range_edges(anchor[one], deals):
+            some = one[lo:hi]
+            size = end[some] - start[some]
+            payload = packed(anchor[some], size.astype(np.uint8), owner[some], data[_expand(start[some], size)])
+            yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([block]), pa.array([payload], pa.binary())], ["place", "block", "payload"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One collection after the other; tells each block the least owner of every string of its pieces."""
-        held: list[pa.RecordBatch] = []
-        rows = 0
+        """One deal after the other."""
+        now, blocks, blobs = None, [], []
         for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows > 4 * COLLECTION:
-                table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                anchor = table.column("anchor").to_numpy()
-                whole = int(np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))[-1])  # the last may go on
-                if whole:
-                    yield from solve(table.slice(0, whole))
-                held, rows = [table.slice(whole)], table.num_rows - whole
-        if rows:
-            yield from solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-
-    def solve(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        anchor, piece, owner, block = (batch.column(k).to_numpy() for k in ("anchor", "piece", "owner", "block"))
-        data, at = utf8(batch.column("bytes").cast(pa.large_binary()).view(pa.large_string()))
-        start, end = at[:-1], at[1:]
+            for place, block, payload in zip(*(batch.column(k).to_pylist() for k in ("place", "block", "payload"))):
+                if place != now:
+                    if blobs:
+                        yield from solve(now, blocks, blobs)
+                    now, blocks, blobs = place, [], []
+                blocks.append(block)
+                blobs.append(unpacked(payload))
+        if blobs:
+            yield from solve(now, blocks, blobs)
+
+    def solve(place: int, blocks: list[int], blobs: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Tell each block the least owner of every string of the pieces that it sent."""
+        anchor, size, owner, data = (np.concatenate([b[k] for b in blobs]) for k in range(4))
+        end = np.cumsum(size.astype(np.int64))
+        start = end - size
         text = span_hashes(data, start, end)
         order = np.lexsort((owner, text, anchor))
         new = np.ones(len(order), bool)
@@ -295,35 +277,40 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         one = order[new]  # each different piece once, with its least owner
         of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(new) - 1
-        least, edge = [], [np.zeros(1, np.int64)]
         a = anchor[one]
-        cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))), [len(a)]))
-        lo, total = 0, 0
-        while lo < len(a):
-            hi = int(cuts[max(np.searchsorted(cuts, lo + COLLECTION, side="right") - 1, np.searchsorted(cuts, lo, side="right"))])
-            some = one[lo:hi]
-            e, g = least_owner(data, start[some], end[some], owner[some])
-            least.append(g)
-            edge.append(e[1:] + total)
-            total += int(e[-1])
+        head = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+        members = np.diff(np.append(head, len(a)))
+        strings = size[one].astype(np.int64) - LENGTH + 1
+        edge = np.concatenate(([0], np.cumsum(strings)))
+        # an anchor that has one piece, once equal ones are merged, has none to compare it with
+        least = np.repeat(owner[one], strings)
+        rest = np.flatnonzero(np.repeat(members, members) > 1)
+        stops = np.flatnonzero(np.concatenate((a[rest][1:] != a[rest][:-1], [True]))) + 1 if len(rest) else []
+        lo = 0
+        while lo < len(rest):
+            hi = int(stops[max(np.searchsorted(stops, lo + COLLECTION, side="right") - 1, np.searchsorted(stops, lo, side="right"))])
+            mine = rest[lo:hi]
+            some = one[mine]
+            n = size[some].astype(np.int64)
+            stop = np.cumsum(n)
+            _, got = least_owner(data[_expand(start[some], n)], stop - n, stop, owner[some])
+            least[_expand(edge[mine], strings[mine])] = got
             lo = hi
-        least, edge = np.concatenate(least), np.concatenate(edge)
-        by = np.lexsort((piece, block))
-        for mine in np.split(by, np.flatnonzero(np.diff(block[by])) + 1):
-            n = np.diff(edge)[of[mine]]
-            g = least[_expand(edge[of[mine]], n)]
-            # runs of equal owners
-            head = np.ones(len(g), bool)
+        sent = np.concatenate(([0], np.cumsum([len(b[0]) for b in blobs])))
+        for k, block in enumerate(blocks):
+            mine = of[sent[k] : sent[k + 1]]
+            n = strings[mine]
+            g = least[_expand(edge[mine], n)]
+            first_of = np.cumsum(n) - n
+            head = np.ones(len(g), bool)  # runs of equal owners
             head[1:] = g[1:] != g[:-1]
-            head[(np.cumsum(n) - n)] = True
+            head[first_of] = True
             first = np.flatnonzero(head)
-            run = np.diff(np.append(first, len(g)))
-            runs = np.add.reduceat(head.astype(np.int64), np.cumsum(n) - n)
-            payload = packed(piece[mine].astype(np.uint32), runs.astype(np.uint8), run.astype(np.uint8), g[first])
-            yield pa.RecordBatch.from_arrays([pa.array(block[mine[:1]]), pa.array(piece[mine[:1]]), pa.array([payload], pa.binary())], ["block", "place", "payload"])
+            payload = packed(np.add.reduceat(head.astype(np.uint8), first_of), np.diff(np.append(first, len(g))).astype(np.uint8), g[first])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([place]), pa.array([payload], pa.binary())], ["block", "place", "payload"])
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks.bytes // (64 << 20)))
-    told = sent.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(match, "block bigint, place bigint, payload binary")
+    sent = blocks.each(cut, QUESTION, answers).repartition(deals, "place").sortWithinPartitions("place", "block")
+    told = written(sent.mapInArrow(match, "block bigint, place bigint, payload binary"), "owners")
 
     def finish(block: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         batch = load(path, block)
@@ -331,14 +318,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if payloads:
             store, folder = open_store(path)
             with store.open_input_file(f"{folder}/pieces-{block}.bin") as f:
-                place, size, number = unpacked(f.read())
-            got = [unpacked(p) for p in payloads]
-            piece, runs, run, owner = (np.concatenate([g[k] for g in got]) for k in range(4))
+                place, number = unpacked(f.read())
+            got = [unpacked(p) for p in payloads]  # deals in order, so pieces in the order of their numbers
+            runs, run, owner = (np.concatenate([g[k] for g in got]) for k in range(3))
             runs, run = runs.astype(np.int64), run.astype(np.int64)
-            order = np.argsort(piece, kind="stable")
-            edge = np.cumsum(runs) - runs
-            spot = _expand(edge[order], runs[order])
-            runs, run, owner = runs[order], run[spot], owner[spot]
             edge = np.concatenate(([0], np.cumsum(runs)))
             ids = batch.column("id").to_numpy()
             _, at = utf8(batch.column("text"))
