@@ -25,6 +25,9 @@ der die und das von zu den mit ist im dem nicht ein eine für auf sich des
 el los las y se del con no una su para al lo como más
 """.split()
 
+#: A text is kept from this probability of good on; under one half, so that the doubtful stay.
+LEAST = 0.25
+
 STATS = ("symbols", "upper", "bars", "adjacent", "variety", "stops", "shouts", "plain")
 
 
@@ -102,28 +105,35 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
 
     patterns: (p, labellers) of 0 abstain, 1 good, 2 bad; counts: how often each occurs.  Returns the posterior of
     good for each pattern, the labellers' rates P(vote | class) as (labeller, class bad/good, vote), and P(good).
-    Abstaining is missing, not evidence.  It starts from the majority vote.
+    Abstaining is missing, not evidence.  Each labeller knows one defect and a bad text has one or two of many, so
+    bad is a mixture of kinds, one begun by each labeller: with a single kind, labellers of a rare defect would seem to
+    err.  It does not start from the majority: two votes for bad start as bad however many labellers see nothing.
     """
-    good, bad = (patterns == 1).sum(axis=1), (patterns == 2).sum(axis=1)
-    post = (good + 2.0) / (good + bad + 4.0)
-    post = np.where(bad * 2 >= good, np.minimum(post, 0.4), np.maximum(post, 0.8))
-    prior, rates = 0.5, np.zeros((patterns.shape[1], 2, 2))
+    n, labellers = patterns.shape
+    votes = np.stack([patterns == 1, patterns == 2], axis=2).astype(float)
+    bad = votes[:, :, 1].sum(axis=1)
+    post = np.zeros((n, labellers + 1))  # the last is good
+    post[:, labellers] = np.where(bad >= 2, 0.1, 0.9)
+    post[:, :labellers] = (1 - post[:, labellers:]) * (votes[:, :, 1] + 0.01) / (votes[:, :, 1] + 0.01).sum(axis=1, keepdims=True)
+    strength = np.tile([1.0, 1.0], (labellers + 1, 1))
+    strength[labellers] = 19.0, 1.0  # a labeller seldom calls a good text bad
     for _ in range(rounds):
-        prior = float(np.clip((counts * post).sum() / counts.sum(), 0.02, 0.98))
-        for k in range(patterns.shape[1]):
-            for c, w in ((0, counts * (1 - post)), (1, counts * post)):
-                g, b = w[patterns[:, k] == 1].sum() + (0.5 + c), w[patterns[:, k] == 2].sum() + (1.5 - c)
-                rates[k, c] = g / (g + b), b / (g + b)
-        log = np.full(len(patterns), np.log(prior / (1 - prior)))
-        for k in range(patterns.shape[1]):
-            for vote in (1, 2):
-                log += np.where(patterns[:, k] == vote, np.log(rates[k, 1, vote - 1] / rates[k, 0, vote - 1]), 0.0)
-        new = 1 / (1 + np.exp(-np.clip(log, -50, 50)))
-        if np.abs(new - post).max() < 1e-7:
-            post = new
-            break
+        weight = counts[:, None] * post
+        prior = (weight.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * (labellers + 1))
+        got = np.einsum("pc,plv->clv", weight, votes) + strength[:, None, :]
+        rate = got / got.sum(axis=2, keepdims=True)
+        log = np.log(prior) + np.einsum("plv,clv->pc", votes, np.log(rate))
+        log -= log.max(axis=1, keepdims=True)
+        new = np.exp(log)
+        new /= new.sum(axis=1, keepdims=True)
+        done = np.abs(new - post).max() < 1e-7
         post = new
-    return post, rates, prior
+        if done:
+            break
+    weight = counts[:, None] * post
+    of_bad = np.einsum("pc,plv->lv", weight[:, :labellers], votes) + 1.0
+    rates = np.stack([of_bad / of_bad.sum(axis=1, keepdims=True), rate[labellers]], axis=1)
+    return post[:, labellers], rates, float(np.clip(weight[:, labellers].sum() / max(counts.sum(), 1), 0.02, 0.98))
 
 
 def features_of(data: np.ndarray, at: np.ndarray, stats: np.ndarray) -> np.ndarray:
@@ -233,7 +243,7 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = 4096) -> Scor
     return Scorer(w, b, prior, {name: rates[k].round(4).tolist() for k, name in enumerate(STATS)})
 
 
-def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(id_col, n_votes_bad, score, kept) for every row: kept when the scorer's probability of good is ``least`` or
     more.  Null and empty texts and texts without words score 0 and are not kept."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -252,7 +262,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     return picked.mapInArrow(run, f"_id {kind}, n_votes_bad bigint, score double, kept boolean").withColumnRenamed("_id", id_col)
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4096, least: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4096, least: float = LEAST) -> DataFrame:
     """Fit on docs and score every row of docs; see ``fit`` and ``score``.  Ids may be null or repeated, extra columns
     are ignored, an empty table gives no rows."""
     return score(docs, fit(docs, text_col, train_rows), id_col, text_col, least)
