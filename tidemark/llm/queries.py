@@ -60,5 +60,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op4_fingerprints, op5_source_mixing, op7_bpe, op8_simhash_dedup, op9_suffix_dedup)}
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target: documents that ``labels`` calls good and not toxic."""
+    from .lmscore import cross_entropy_difference
+
+    arrow_rows(spark)
+    labels = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("good", F.lit(True))
+    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    return cross_entropy_difference(docs, "good")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op4_fingerprints, op5_source_mixing, op7_bpe, op8_simhash_dedup, op9_suffix_dedup, op10_lm_scores)}
 ORACLES: dict[str, str] = {}
