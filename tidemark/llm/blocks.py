@@ -82,7 +82,7 @@ class Blocks:
 
 
 def write_blocks(docs: DataFrame, id_col: str, text_col: str, flags: dict[str, str] | None = None) -> Blocks:
-    """Write docs (null ids: after all others; null texts: empty) as blocks; flags: further boolean columns by SQL."""
+    """Write docs (null ids: after all others; null texts: empty) as blocks; flags: further columns by SQL."""
     spark = docs.sparkSession
     path = scratch(spark, "blocks")
     names = list(flags or {})

@@ -70,5 +70,19 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(docs, "good")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op4_fingerprints, op5_source_mixing, op7_bpe, op8_simhash_dedup, op9_suffix_dedup, op10_lm_scores)}
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import main_text
+
+    arrow_rows(spark)
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    arrow_rows(spark)
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op3_embedding_dedup, op4_fingerprints, op5_source_mixing, op6_main_text, op7_bpe, op8_simhash_dedup, op9_suffix_dedup, op10_lm_scores)}
 ORACLES: dict[str, str] = {}

@@ -198,9 +198,11 @@ def _expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(edge - start, n)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept): each text as UTF-8 bytes without its repeated passages.
 
+    keep: further columns of docs to return; small ones, as they travel with the texts.
+
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller id; strings are judged on
     the input.  kept has the remaining bytes (binary: a cut may split a character).  Null and empty texts have 0 bytes;
     texts under 50 bytes stay.  A null id counts as larger than all others and comes back null; rows with one id never
@@ -208,8 +210,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    blocks = write_blocks(docs, id_col, text_col)
+    blocks = write_blocks(docs, id_col, text_col, {f"keep_{k}": f"`{c}`" for k, c in enumerate(keep)})
     path = blocks.path
+    extra = [f"keep_{k}" for k in range(len(keep))]
     ranges = ranges_for(blocks.bytes // 18, spark)
 
     def ask(block: int, _: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -354,10 +357,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             off = at - run[at]
             kept = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(left.tobytes())]).cast(pa.binary())
             ids = part.column("id").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(np.diff(at)), pa.array(removed), pa.array(heads[at[1:]] - heads[at[:-1]]), kept], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(np.diff(at)), pa.array(removed), pa.array(heads[at[1:]] - heads[at[:-1]]), kept, *[part.column(k) for k in extra]], ["id", "n_bytes", "n_removed", "n_spans", "kept", *extra])
 
-    done = blocks.each(finish, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary", told)
-    return done.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
+    kinds = "".join(f", {e} {docs.schema[c].dataType.simpleString()}" for e, c in zip(extra, keep))
+    done = blocks.each(finish, f"id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary{kinds}", told)
+    return done.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept", *[F.col(e).alias(c) for e, c in zip(extra, keep)])
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
