@@ -1,6 +1,6 @@
 """Blocks of documents in sequential external files, and questions from blocks to ranges of hashes and back.
 
-A block holds some 16 MB of whole texts in one file of the shared folder.  A pass over the blocks is a Spark job with a
+A block holds some 8 MB of whole texts in one file of the shared folder.  A pass over the blocks is a Spark job with a
 row for each block; its task reads the block's file.  What blocks must find out about each other travels as packed
 arrays: a block sends each range of hashes the hashes that it has there, each once however many rows share it, so a hot
 value costs a range one entry for each block and not one for each row.
@@ -20,7 +20,7 @@ from .textkernel import U64
 from .tokenstore import Attempt, open_store
 
 #: Bytes of text in a block (a longer text stands alone), and hashes of one range, on average.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 RANGE_HASHES = 1 << 20
 #: Stands for a null id: after every other.
 NULL_ID = np.iinfo(np.int64).max

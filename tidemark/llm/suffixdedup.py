@@ -24,8 +24,8 @@ from .tokenstore import Attempt, open_store
 LENGTH = 50
 ANCHOR = 20
 #: Pieces of one collection, on average at most (an anchor's pieces stay together), and bytes of text for each deal.
-COLLECTION = 1 << 15
-DEAL_BYTES = 16 << 20
+COLLECTION = 1 << 14
+DEAL_BYTES = 8 << 20
 
 
 # --- anchors and pieces ------------------------------------------------------------------------------------------
@@ -192,6 +192,11 @@ def _anchors(owner: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h[first], np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
 
 
+def _text_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 10_000) -> np.ndarray:
+    """Hashes of pieces in ascending places, few at a time as the running sums take 8 bytes and more for each byte."""
+    return np.concatenate([span_hashes(data[start[k] : end[min(k + step, len(end)) - 1]], start[k : k + step] - start[k], end[k : k + step] - start[k]) for k in range(0, len(start), step)])
+
+
 def _expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start[i], start[i]+1, ... n[i] of them, end to end."""
     edge = np.cumsum(n) - n
@@ -238,7 +243,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hit = wanted[np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)] == anchor
         start, end, owner, anchor = start[hit], end[hit], owner[hit], anchor[hit]
         data, _ = utf8(batch.column("text"))
-        text = np.concatenate([span_hashes(data[start[k] : end[min(k + 50_000, len(end)) - 1]], start[k : k + 50_000] - start[k], end[k : k + 50_000] - start[k]) for k in range(0, len(start), 50_000)])
+        text = _text_hashes(data, start, end)
         order = np.lexsort((owner, text, anchor))
         new = np.ones(len(order), bool)
         new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (text[order][1:] != text[order][:-1])
@@ -273,7 +278,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         anchor, size, owner, data = (np.concatenate([b[k] for b in blobs]) for k in range(4))
         end = np.cumsum(size.astype(np.int64))
         start = end - size
-        text = span_hashes(data, start, end)
+        text = _text_hashes(data, start, end)
         order = np.lexsort((owner, text, anchor))
         new = np.ones(len(order), bool)
         new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (text[order][1:] != text[order][:-1])
