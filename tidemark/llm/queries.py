@@ -84,5 +84,11 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op3_embedding_dedup, op4_fingerprints, op5_source_mixing, op6_main_text, op7_bpe, op8_simhash_dedup, op9_suffix_dedup, op10_lm_scores)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op3_embedding_dedup, op4_fingerprints, op5_source_mixing, op6_main_text, op7_bpe, op8_simhash_dedup, op9_suffix_dedup, op10_lm_scores, pipeline)}
 ORACLES: dict[str, str] = {}
