@@ -174,20 +174,21 @@ class Scorer:
     rates: dict[str, list[list[float]]]
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
+def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 250) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels y by accelerated gradient steps; both classes weigh alike at most 10 to 1."""
     n = len(y)
     share = np.clip(np.array([(1 - y).sum(), y.sum()]) / max(n, 1), 0.05, 1)
     weight = ((1 - y) / share[0] + y / share[1]) / 2
     weight /= weight.sum()
-    w, b = np.zeros(x.shape[1]), 0.0
+    x, y, weight = (a.astype(np.float32) for a in (x, y, weight))  # in one precision, or each product copies x
+    w, b = np.zeros(x.shape[1], np.float32), 0.0
     vw, vb = w.copy(), b
     rate = 4.0 / max(1e-9, float(np.mean((x**2).sum(axis=1))) + 1)
     for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ vw + vb, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ vw + np.float32(vb), -30, 30)))
         g = weight * (p - y)
-        nw, nb = vw - rate * (x.T @ g + l2 * vw), vb - rate * g.sum()
-        m = k / (k + 3)
+        nw, nb = vw - np.float32(rate) * (g @ x + np.float32(l2) * vw), vb - rate * float(g.sum())
+        m = np.float32(k / (k + 3))
         vw, vb = nw + m * (nw - w), nb + m * (nb - b)
         w, b = nw, nb
     return w, float(b)
@@ -262,6 +263,21 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     return picked.mapInArrow(run, f"_id {kind}, n_votes_bad bigint, score double, kept boolean").withColumnRenamed("_id", id_col)
 
 
+def accepted(docs: DataFrame, scorer: Scorer, text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """The rows of docs that the scorer keeps, with all their columns, in one pass; see ``score``."""
+    weights, bias = scorer.weights.astype(np.float32), scorer.bias
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                data, at = utf8(part.column(text_col))
+                stats, words = stats_of(data, at)
+                p = 1 / (1 + np.exp(-np.clip(features_of(data, at, stats) @ weights + bias, -30, 30)))
+                yield part.filter(pa.array((words > 0) & (p >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4096, least: float = LEAST) -> DataFrame:
     """Fit on docs and score every row of docs; see ``fit`` and ``score``.  Ids may be null or repeated, extra columns
     are ignored, an empty table gives no rows."""
