@@ -125,7 +125,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # descending order; ties by a hash of the text, then the text
     key = base.withColumn("k", F.coalesce(F.bitwise_not(F.col("id").cast("bigint")), F.lit((1 << 63) - 1))).withColumn("t", F.xxhash64("text"))
