@@ -52,14 +52,22 @@ def _top(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 EDGE = "u bigint, v bigint, sim float"
 
 
-def _chunked(keys: list[str], k: int):
-    """Compare runs of rows (keys..., cid, code) with equal keys, CHUNK at a time; emit each row's k nearest."""
+def _chunked(keys: list[str], k: int, least: float | None = None):
+    """Compare runs of rows (keys..., cid, code) with equal keys, CHUNK at a time; emit each row's k nearest.
 
-    def emit(cid: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+    With ``least`` rows have a comp too, and only neighbours of another comp, at least that alike, count.
+    """
+
+    def emit(cid: np.ndarray, codes: np.ndarray, comp: np.ndarray | None) -> pa.RecordBatch:
         x = codes.astype(np.float32)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         sim = x @ x.T
+        if comp is not None:
+            sim[comp[:, None] == comp] = -np.inf
         row, col = _top(sim, k)
+        if comp is not None:
+            passing = sim[row, col] >= least
+            row, col = row[passing], col[passing]
         return pa.RecordBatch.from_arrays([pa.array(cid[row]), pa.array(cid[col]), pa.array(sim[row, col].astype(np.float32))], ["u", "v", "sim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,6 +93,7 @@ def _chunked(keys: list[str], k: int):
             new[1:] = change
             starts = np.append(np.flatnonzero(new), n)
             cid, raw = table["cid"].to_numpy(), table["code"].combine_chunks()
+            comp = None if least is None else table["comp"].to_numpy()
             size = np.asarray(pa.compute.binary_length(raw).to_numpy(zero_copy_only=False))
             at = 0
             for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
@@ -94,7 +103,7 @@ def _chunked(keys: list[str], k: int):
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                     if b - a > 1:
                         codes = np.frombuffer(b"".join(raw.slice(a, b - a).to_pylist()), np.int8).reshape(b - a, int(size[a]))
-                        yield emit(cid[a:b], codes)
+                        yield emit(cid[a:b], codes, None if comp is None else comp[a:b])
                 at = hi
             self.rest = at
 
@@ -167,10 +176,13 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec
     1. Random sign orderings put alike vectors next to each other; stretches of them start the neighbour lists.
     2. Rounds of neighbours-of-neighbours joins refine the lists (on 8-bit codes).
     3. The passing edges, with some slack, give components.  A list whose last entry still passes is saturated and may
-       hide links; as links can't leave a component, its lists are enlarged to the component, compared in blocks with
-       the whole vectors in double precision.  Only counts and spanning forests leave a block.
-    4. An audit compares a bounded sample of vectors with all of their label; if fewer than 99 % of their links lie
-       inside components, more orderings follow (at most twice).
+       hide links, to its own component as to others.  Saturated vectors are ordered anew and look for neighbours of
+       other components only, which join the components, until an ordering's rounds find none.
+    4. An audit compares bounded samples of all vectors, of those in components and of the saturated ones with all of
+       their label; if fewer than 99 % of a sample's links lie inside components, more orderings follow (at most
+       twice), and if that is not enough each label is taken for one component.
+    5. Each component is compared in blocks with the whole vectors in double precision.  Only counts and spanning
+       forests leave a block.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -207,14 +219,16 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec
                         x = np.frombuffer(b"".join([raw[k] for k in at]), np.int8).reshape(len(at), d).astype(np.float32)
                         bits = x @ _planes(int(d), seed) > 0
                         sign[at] = bits @ (1 << np.arange(bits.shape[1] - 1, -1, -1))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), seed)), *[batch.column(k) for k in ("grp",)], pa.array(sign), batch.column("cid"), batch.column("code")], ["tree", "grp", "sign", "cid", "code"])
+                    rest = [c for c in batch.schema.names if c != "grp"]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), seed)), batch.column("grp"), pa.array(sign), *[batch.column(c) for c in rest]], ["tree", "grp", "sign", *rest])
 
         return run
 
-    def start(seeds: list[int]) -> DataFrame:
-        keyed = codes.mapInArrow(order(seeds), "tree bigint, grp bigint, sign bigint, cid bigint, code binary").withColumn("mix", F.xxhash64("cid", "tree"))
+    def start(seeds: list[int], frame: DataFrame = codes, least: float | None = None) -> DataFrame:
+        schema = "tree bigint, grp bigint, sign bigint, cid bigint, code binary" + ", comp bigint" * (least is not None)
+        keyed = frame.mapInArrow(order(seeds), schema).withColumn("mix", F.xxhash64("cid", "tree"))
         keys = ["tree", "grp", "sign", "mix"]
-        return keyed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_chunked(["tree", "grp"], NEIGHBOURS), EDGE)
+        return keyed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_chunked(["tree", "grp"], NEIGHBOURS, least), EDGE)
 
     def descend(graph: DataFrame) -> DataFrame:
         both = graph.select(F.col("u").alias("pivot"), F.col("v").alias("member")).union(graph.select("v", "u")).distinct()
@@ -222,16 +236,36 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec
         near = joined.repartition(parts, "pivot").sortWithinPartitions("pivot", "cid").mapInArrow(_chunked(["pivot"], NEIGHBOURS // 2), EDGE)
         return written(_nearest(graph.union(near), NEIGHBOURS), "graph")
 
-    graph, seeds = None, 0
+    def outward(found: DataFrame, saturated: DataFrame, seeds: int) -> tuple[DataFrame, int]:
+        """found, joined by passing edges between saturated vectors of different components; and the next seed."""
+        dense = written(codes.join(saturated, "cid"), "dense")
+        while not dense.isEmpty():
+            placed = dense.join(found, F.col("cid") == F.col("node")).select("grp", "cid", "code", F.col("component").alias("comp"))
+            across = written(start(list(range(seeds, seeds + ORDERINGS)), placed, threshold - SLACK), "across")
+            seeds += ORDERINGS
+            if across.isEmpty():
+                break
+            edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+            found = written(components(edges.union(across.select("u", "v"))), "found")
+        return found, seeds
+
+    graph, seeds, tries = None, 0, 0
     while True:
         begun = start(list(range(seeds, seeds + ORDERINGS)))
         seeds += ORDERINGS
         graph = written(_nearest(begun if graph is None else graph.union(begun), NEIGHBOURS), "graph")
         for _ in range(ROUNDS):
             graph = descend(graph)
-        found = components(graph.where(F.col("sim") >= threshold - SLACK).select(F.col("u").alias("a"), F.col("v").alias("b")))
-        found = written(found, "found")
-        if seeds >= 3 * ORDERINGS or _audit(classes, found, threshold) >= RECALL:
+        passing = graph.where(F.col("sim") >= threshold - SLACK)
+        found = written(components(passing.select(F.col("u").alias("a"), F.col("v").alias("b"))), "found")
+        saturated = passing.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= NEIGHBOURS).select(F.col("u").alias("cid"))
+        found, seeds = outward(found, saturated, seeds)
+        tries += 1
+        if _audit(classes, found, saturated, threshold) >= RECALL:
+            break
+        if tries == 3:
+            whole = classes.groupBy("grp").agg(F.min("cid").alias("component"))
+            found = classes.join(whole, "grp").select(F.col("cid").alias("node"), "component")
             break
 
     named = classes.join(found, F.col("cid") == F.col("node")).select(F.col("component").alias("comp"), "cid", "n", "vec")
@@ -259,9 +293,18 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec
     return every.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _audit(classes: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Share of the links of at most AUDITED sampled vectors, found by brute force, that lie inside a component."""
-    picked = classes.orderBy(F.xxhash64("cid", F.lit("audit"))).limit(AUDITED).select("cid", "grp", "vec").collect()
+def _audit(classes: DataFrame, found: DataFrame, saturated: DataFrame, threshold: float) -> float:
+    """Share of the links of sampled vectors, found by brute force, that lie inside a component.
+
+    At most AUDITED vectors each are sampled of all, of those in components and of the saturated ones; the least share
+    counts.
+    """
+
+    def sample(ids: DataFrame) -> set[int]:
+        return {r.cid for r in ids.orderBy(F.xxhash64("cid", F.lit("audit"))).limit(AUDITED).collect()}
+
+    samples = [sample(x) for x in (classes.select("cid"), found.select(F.col("node").alias("cid")), saturated)]
+    picked = classes.where(F.col("cid").isin(sorted(set().union(*samples)))).select("cid", "grp", "vec").collect()
     groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for g in {r.grp for r in picked}:
         mine = [r for r in picked if r.grp == g]
@@ -285,5 +328,6 @@ def _audit(classes: DataFrame, found: DataFrame, threshold: float) -> float:
 
     links = classes.select("cid", "grp", "vec").mapInArrow(run, "x bigint, y bigint")
     f, g = found.select(F.col("node").alias("x"), F.col("component").alias("cx")), found.select(F.col("node").alias("y"), F.col("component").alias("cy"))
-    got = links.join(f, "x", "left").join(g, "y", "left").agg(F.count("*").alias("all"), F.count_if(F.col("cx") == F.col("cy")).alias("hit")).first()
-    return got.hit / got.all if got.all else 1.0
+    got = links.join(f, "x", "left").join(g, "y", "left").groupBy("y").agg(F.count("*").alias("all"), F.count_if(F.col("cx") == F.col("cy")).alias("hit")).collect()
+    every = [(sum(r.hit for r in got if r.y in s), sum(r.all for r in got if r.y in s)) for s in samples]
+    return min(hit / n if n else 1.0 for hit, n in every)
