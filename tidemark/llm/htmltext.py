@@ -4,7 +4,8 @@ The pages of a host are merged into one tree of styles: a node is the chain of (
 block's node has two importances, both from how a host's different pages vary there: of presentation (entropy of the
 inline mark-up sequences) and of content (one minus the mean entropy of the texts: a text that stands on all pages says
 nothing about one).  Branches of low composite importance are removed from each page, besides those whose mark-up
-already says that they are no article (navigation, footers, adverts, forms, comments and so on).
+already says that they are no article (navigation, footers, adverts, forms, comments and so on).  Standing in an
+article or main element is evidence for a node, and blocks outside of one stay if they are important.
 """
 
 from __future__ import annotations
@@ -44,8 +45,12 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: Pages of a host, different from each other, from which on its tree counts; and the least importance that stays.
-LEAST_PAGES = 5
+LEAST_PAGES = 2
 LEAST_IMPORTANCE = 0.2
+#: Pages under which two copies of a text may be all of a host: there articles stay, and pages that would lose over half.
+FEW_PAGES = 5
+#: What standing in an article adds to a node's importance.
+ARTICLE = 0.1
 #: Share of content in the composite importance of a node with one content child.
 DAMPING = 0.9
 #: Bytes up to which the low branches are broadcast; more are joined by host.
@@ -187,21 +192,23 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def extract(html: str, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of one page, given the low branches of its host."""
+def extract(html: str, low: frozenset[int] | set[int] = frozenset(), few: bool = False) -> str:
+    """The main text of one page, given the low branches of its host and whether it has few pages."""
     found = blocks_of(html)
     high = [b for b in found if b[0] not in low] if low else found
+    if few and 2 * sum(len(b[2]) for b in high) < sum(len(b[2]) for b in found):
+        high = found  # rather two near copies than a frame around two texts
     found = high or found  # a host that has one page again and again has no branch that tells pages apart
-    main = [b for b in found if b[1]]
-    return " ".join(b[2] for b in main or found)
+    return " ".join(b[2] for b in found)
 
 
 def low_branches(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path) of each style node that is not important on its host.
+    """(host, path, m) of each style node that is not important on its host, on m pages.
 
     Equal pages of a host count once.  For a node on m different pages, a text on c of them has entropy log c / log m;
     content importance is one minus the mean over the node's different texts, presentation importance the entropy of
-    its mark-up sequences; composite = 0.9 content + 0.1 presentation.
+    its mark-up sequences; composite = 0.9 content + 0.1 presentation, and 0.1 more in an article.  A node in an article
+    on fewer than FEW_PAGES pages is important.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,14 +216,14 @@ def low_branches(pages: DataFrame, url_col: str = "url", html_col: str = "html")
             seen = set()
             for url, html in zip(batch.column("_url").to_pylist(), batch.column("_html").to_pylist()):
                 host, page = host_of(url), xxhash.xxh64_intdigest((html or "").encode("utf-8", "replace")) - (1 << 63)
-                for path, _, text, marks in blocks_of(html or ""):
-                    seen.add((host, path, page, xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 1) - (1 << 63), xxhash.xxh64_intdigest(marks.encode(), 2) - (1 << 63)))
+                for path, main, text, marks in blocks_of(html or ""):
+                    seen.add((host, path, main, page, xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 1) - (1 << 63), xxhash.xxh64_intdigest(marks.encode(), 2) - (1 << 63)))
             if seen:
-                host, path, page, text, marks = zip(*seen)
-                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *[pa.array(x, pa.int64()) for x in (path, page, text, marks)]], ["host", "path", "page", "text", "marks"])
+                host, path, main, page, text, marks = zip(*seen)
+                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.int64()), pa.array(main), *[pa.array(x, pa.int64()) for x in (page, text, marks)]], ["host", "path", "main", "page", "text", "marks"])
 
-    seen = written(pages.select(F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html")).mapInArrow(run, "host string, path bigint, page bigint, text bigint, marks bigint"), "styles")
-    page_count = seen.groupBy("host", "path", "page").agg(F.lit(1).alias("one")).groupBy("host", "path").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST_PAGES)
+    seen = written(pages.select(F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html")).mapInArrow(run, "host string, path bigint, main boolean, page bigint, text bigint, marks bigint"), "styles")
+    page_count = seen.groupBy("host", "path", "page").agg(F.max("main").alias("main")).groupBy("host", "path").agg(F.count("*").alias("m"), F.max("main").alias("main")).where(F.col("m") >= LEAST_PAGES)
 
     def counted(what: str) -> DataFrame:
         return seen.groupBy("host", "path", "page", what).agg(F.lit(1).alias("one")).groupBy("host", "path", what).agg(F.count("*").alias("c"))
@@ -227,29 +234,30 @@ def low_branches(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     logm = F.log(F.col("m").cast("double"))
     content_importance = 1 - F.least(F.lit(1.0), F.col("mean") / logm)
     presentation = F.least(F.lit(1.0), (F.log(F.col("all").cast("double")) - F.col("clog") / F.col("all")) / logm)
-    return both.where(DAMPING * content_importance + (1 - DAMPING) * presentation < LEAST_IMPORTANCE).select("host", "path")
+    importance = DAMPING * content_importance + (1 - DAMPING) * presentation + F.when(F.col("main"), ARTICLE).otherwise(0.0)
+    return both.where((importance < LEAST_IMPORTANCE) & ~(F.col("main") & (F.col("m") < FEW_PAGES))).select("host", "path", "m")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url_col, text, n_chars) of every row of pages.
 
-    Null and empty html give the empty text; a page without article or main element gives what is left of its body;
+    Null and empty html give the empty text; a page gives what is left of its body, inside an article or not;
     null urls and such without host share one tree.  Broken, unclosed and cut-off mark-up is read as far as it goes.
     Ids may be null or repeated, extra columns are ignored, an empty table gives no rows.
     """
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
-    low = written(low_branches(pages, url_col, html_col).groupBy("host").agg(F.collect_list("path").alias("low")), "low")
+    low = written(low_branches(pages, url_col, html_col).groupBy("host").agg(F.collect_list("path").alias("low"), (F.max("m") < FEW_PAGES).alias("few")), "low")
     size = low.agg(F.sum(F.length("host") + 8 * F.size("low") + 16)).first()[0] or 0
     picked = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).cast("string").alias("_html"))
     host = F.lower(F.regexp_extract(F.coalesce(F.col("_url").cast("string"), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     if size:
         picked = picked.withColumn("host", host).join(F.broadcast(low) if size <= BROADCAST_BYTES else low, "host", "left").drop("host")
     else:
-        picked = picked.withColumn("low", F.lit(None).cast("array<bigint>"))
+        picked = picked.withColumn("low", F.lit(None).cast("array<bigint>")).withColumn("few", F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(h or "", set(low or ())) for h, low in zip(batch.column("_html").to_pylist(), batch.column("low").to_pylist())]
+            texts = [extract(h or "", set(low or ()), bool(few)) for h, low, few in zip(*(batch.column(c).to_pylist() for c in ("_html", "low", "few")))]
             n = np.array([len(t) for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(texts, pa.string()), pa.array(n)], ["_id", "_url", "text", "n_chars"])
 
