@@ -25,9 +25,10 @@ from .common import written
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe template xmp noembed noframes svg math object canvas select button audio video".split())
+RAW = frozenset("script style title textarea noscript iframe template xmp noembed noframes svg annotation annotation-xml object canvas select button audio video".split())
 NOISE_TAGS = frozenset("nav footer aside form dialog menu head fieldset".split()) | RAW
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+    math semantics menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover""".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 SAME_CLOSES = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 # Words in class, id or role that mark what is no article.
@@ -37,10 +38,12 @@ NOISE_WORDS = frozenset(
     cookie cookies consent notice gdpr popup modal overlay newsletter subscribe subscription signup login social share sharing
     related recommended recommendations widget widgets pagination pager skip toolbar copyright legal disclaimer alert""".split()
 )
+# Such of them that name a part of an article as well ("post-header", "side-effects"): they count outside an article only.
+OUTSIDE_WORDS = frozenset("side header masthead banner notice alert legal disclaimer discussion overlay skip".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -63,19 +66,24 @@ def _raw_end(tag: str) -> re.Pattern:
 
 
 class Style:
-    """What a tag and its attributes say: its step in the path and whether it is no article."""
+    """What a tag and its attributes say: its step in the path and whether it is no article, or none unless inside one."""
 
-    __slots__ = ("step", "noise", "main")
+    __slots__ = ("step", "noise", "outside", "main")
 
     def __init__(self, tag: str, attributes: str) -> None:
-        got = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attributes)} if attributes.strip() else {}
+        got: dict[str, str] = {}
+        for k, v in _ATTR.findall(attributes) if attributes.strip() else ():
+            got.setdefault(k.lower(), v.strip("\"'"))  # of a repeated attribute the first counts
         name = f"{got.get('class', '')} {got.get('id', '')}".strip()
         self.step = f"{tag}.{re.sub(r'[0-9]+', '0', name)}" if name else tag
         words = {w.lower() for w in _WORD.findall(name)}
         hidden = "hidden" in got and got["hidden"].lower() != "false" or got.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(got.get("style", "")))
         role = got.get("role", "").lower()
         self.main = tag in ("article", "main") or role in ("main", "article")
-        self.noise = tag in NOISE_TAGS or hidden or role in NOISE_ROLES or (tag not in ("html", "body") and bool(words & NOISE_WORDS) and not (self.main and not words & {"comment", "comments", "reply", "ad", "advert", "sponsored", "related", "promo"}))
+        named = tag not in ("html", "body") and not (self.main and not words & {"comment", "comments", "reply", "ad", "advert", "sponsored", "related", "promo"})
+        self.noise = tag in NOISE_TAGS or hidden or role in NOISE_ROLES or (named and bool(words & (NOISE_WORDS - OUTSIDE_WORDS)))
+        # a header counts as the site's unless it stands in an article
+        self.outside = not self.main and (tag == "header" or named and bool(words & OUTSIDE_WORDS))
 
 
 _styles: dict[tuple[str, str], Style] = {}
@@ -164,7 +172,7 @@ def blocks_of(html: str) -> list[tuple[int, bool, str, str]]:
                 continue
             style = _style(tag, m[3])
             top = stack[-1]
-            stack.append((tag, top[1] or style.noise, top[2], top[3]))
+            stack.append((tag, top[1] or style.noise or (style.outside and not top[2]), top[2], top[3]))
             continue
         flush()
         if tag in VOID:
@@ -180,8 +188,7 @@ def blocks_of(html: str) -> list[tuple[int, bool, str, str]]:
             stack.pop()
         style = _style(tag, m[3])
         top = stack[-1]
-        # a header counts as the site's unless it stands in an article
-        noise = top[1] or style.noise or (tag == "header" and not (top[2] or style.main))
+        noise = top[1] or style.noise or (style.outside and not top[2])
         stack.append((tag, noise, top[2] or style.main, _path(top[3], style.step)))
     flush()
     return out
