@@ -5,6 +5,7 @@ import pandas as pd
 
 import __spark_entry__ as entry
 from tidemark.functions import grubbs_critical
+from tidemark.operators.detect import robust_pca, rpca
 
 
 def test_grubbs_over_all_customers(spark, tmp_path):
@@ -27,3 +28,22 @@ def test_grubbs_over_all_customers(spark, tmp_path):
     assert got.keys() == want.keys()
     for k, w in want.items():
         assert got[k][3] == w[3] and all((a is None) == (b is None) and (a is None or abs(a - b) < 2e-5) for a, b in zip(got[k][:3], w[:3])), k
+
+
+def test_rpca_has_a_row_for_every_point(spark):
+    rng = np.random.default_rng(6)
+    sizes = {"long": 100, "short": 7, "whole": 48, "longer": 125}  # the last has stretches of 60, 60 and 5
+    values = {k: np.sin(np.arange(n) * np.pi / 6) * 10 + rng.normal(0, 1, n) for k, n in sizes.items()}
+    points = spark.createDataFrame([(k, i, float(v)) for k, vs in values.items() for i, v in enumerate(vs)], "topic string, t bigint, v double")
+    got = {k: [] for k in sizes}
+    for r in sorted(rpca(points, 12, window=60).collect()):
+        got[r.topic].append(r)
+    fold = lambda v: [p.T.ravel() for p in robust_pca(v.reshape(-1, 12).T)]
+    for k, n in sizes.items():
+        assert [(r.t, r.v) for r in got[k]] == list(enumerate(values[k]))
+        assert all((r.low_rank is None and r.sparse is None and r.error is None) if n < 12 else abs(r.low_rank + r.sparse + r.error - r.v) < 1e-9 for r in got[k])
+    last = values["long"][60:]
+    assert np.allclose([r.low_rank for r in got["long"][60:96]], fold(last[:36])[0])
+    assert np.allclose([r.low_rank for r in got["long"][96:]], fold(last[4:])[0][-4:])
+    last = values["longer"][60:]
+    assert np.allclose([r.low_rank for r in got["longer"][120:]], fold(last[5:])[0][-5:])

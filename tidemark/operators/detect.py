@@ -257,16 +257,28 @@ def robust_pca(x: np.ndarray, rounds: int = 228) -> tuple[np.ndarray, np.ndarray
 
 
 def rpca(points: DataFrame, period: int, window: int = 8400) -> DataFrame:
-    """Split of each stretch of a series, folded into periods, into low rank, sparse and error."""
-    numbered = points.withColumn("stretch", F.floor((F.row_number().over(by_time()) - 1) / window))
+    """Split of each stretch of a series, folded into periods, into low rank, sparse and error.
+
+    Points after a stretch's last whole period get their parts from the same number of whole periods folded back from its
+    end; a last stretch shorter than a period goes with the one before, and all parts of a series that short are null.
+    """
+    n = F.count("*").over(Window.partitionBy("topic"))
+    stretch = F.least(F.floor((F.row_number().over(by_time()) - 1) / window), F.greatest(F.floor((n - period) / window), F.lit(0)))
+    numbered = points.withColumn("stretch", stretch)
+
+    def split(v: np.ndarray) -> np.ndarray:
+        return np.stack([p.T.ravel() for p in robust_pca(v.reshape(-1, period).T)])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        whole = len(pdf) // period * period
-        pdf = pdf.iloc[:whole]
-        if not whole:
-            return pd.DataFrame({"topic": [], "t": [], "v": [], "low_rank": [], "sparse": [], "error": []})
-        parts = [p.T.ravel() for p in robust_pca(pdf.v.to_numpy(float).reshape(-1, period).T)]
+        v = pdf.v.to_numpy(float)
+        rest = len(v) % period
+        whole = len(v) - rest
+        parts = np.full((3, len(v)), np.nan)
+        if whole:
+            parts[:, :whole] = split(v[:whole])
+            if rest:
+                parts[:, whole:] = split(v[rest:])[:, whole - rest :]
         return pd.DataFrame({"topic": pdf.topic, "t": pdf.t, "v": pdf.v, "low_rank": parts[0], "sparse": parts[1], "error": parts[2]})
 
     return numbered.groupBy("topic", "stretch").applyInPandas(run, "topic string, t bigint, v double, low_rank double, sparse double, error double")
