@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,10 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
 
 
 class Blocks:
-    """The block files of a table; ``table`` has a row (block, rows, bytes) for each of them."""
+    """The block files of a table; ``table`` has a row (block, rows, bytes, true) for each of them.
+
+    true: how many rows each flag holds in, in the order of the flags.
+    """
 
     def __init__(self, spark: SparkSession, path: str, table: DataFrame) -> None:
         self.spark, self.path, self.table = spark, path, table
@@ -82,11 +86,11 @@ class Blocks:
 
 
 def write_blocks(docs: DataFrame, id_col: str, text_col: str, flags: dict[str, str] | None = None) -> Blocks:
-    """Write docs (null ids: after all others; null texts: empty) as blocks; flags: further columns by SQL."""
+    """Write docs (null ids: after all others; null texts: empty) as blocks; flags: boolean columns by SQL (null: false)."""
     spark = docs.sparkSession
     path = scratch(spark, "blocks")
     names = list(flags or {})
-    picked = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(NULL_ID))).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.expr(sql).alias(k) for k, sql in (flags or {}).items()])
+    picked = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(NULL_ID))).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.coalesce(F.expr(sql), F.lit(False)).alias(k) for k, sql in (flags or {}).items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -100,7 +104,8 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, flags: dict[str, s
             with pa.ipc.new_file(file.out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(table)
             file.close()
-            return pa.RecordBatch.from_arrays([pa.array([seq], pa.int64()), pa.array([table.num_rows], pa.int64()), pa.array([size], pa.int64())], ["block", "rows", "bytes"])
+            true = [pc.sum(table[k]).as_py() or 0 for k in names]
+            return pa.RecordBatch.from_arrays([pa.array([seq], pa.int64()), pa.array([table.num_rows], pa.int64()), pa.array([size], pa.int64()), pa.array([true], pa.list_(pa.int64()))], ["block", "rows", "bytes", "true"])
 
         for batch in batches:
             text = batch.column("text").cast(pa.large_string())
@@ -120,7 +125,7 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, flags: dict[str, s
         if held:
             yield flush()
 
-    return Blocks(spark, path, written(picked.mapInArrow(run, "block bigint, rows bigint, bytes bigint"), "blocks"))
+    return Blocks(spark, path, written(picked.mapInArrow(run, "block bigint, rows bigint, bytes bigint, true array<bigint>"), "blocks"))
 
 
 def load(path: str, block: int) -> pa.RecordBatch:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,11 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; an error where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("spark.checkpoint.dir is unset: it names the folder that driver and executors share")
     return found.rstrip("/")
 
 
@@ -33,12 +31,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: the lineage ends there and lost executors cost nothing."""
+def written(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
+    """Write df once to the shared folder and read it back: the lineage ends there and lost executors cost nothing.
+
+    instead: a scratch table that the new one supersedes; its files go.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    if instead is not None:
+        discard(instead)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a scratch table that nothing reads any more."""
+    path = df.__dict__.get("scratch_path")
+    if path:
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -68,10 +85,6 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
         start = end
 
 
-def hot_safe_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star steps.
 
@@ -94,6 +107,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # after the large star every edge points down, so the small star groups by the upper end
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = written(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        now = written(small.select("e.u", "e.v").where("u <> v").distinct(), "edges", instead=now)
     own = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return own.unionByName(own.select(F.col("component").alias("node"), "component").distinct())

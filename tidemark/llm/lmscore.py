@@ -18,6 +18,8 @@ from .tokenstore import Attempt, open_store
 LEAST_COUNT = 2
 #: Weight of the unigram model in the bigram's estimate, in words.
 PRIOR = 8.0
+#: Ids of the target up to which they are broadcast, some 16 bytes each.
+BROADCAST_IDS = 1_000_000
 UNKNOWN = U64(0x243F6A8885A308D3)
 START = U64(0x13198A2E03707344)
 
@@ -61,6 +63,16 @@ def own_counts(which: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
+def marked(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, text_col, in_target): docs, and whether ``target`` has the id (null: no).
+
+    Up to BROADCAST_IDS ids are broadcast, so that texts stay where they are; more are joined by shuffle.
+    """
+    ids = written(target.select(id_col).dropna().distinct().withColumn("in_target", F.lit(True)), "target")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.select(id_col, text_col).join(F.broadcast(ids) if few else ids, id_col, "left")
+
+
 def cross_entropy_difference(docs: DataFrame, target: str, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
     """(id_col, n_words, target_loss, background_loss, difference, kept) for every row of docs.
 
@@ -77,8 +89,10 @@ def cross_entropy_difference(docs: DataFrame, target: str, id_col: str = "doc_id
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    blocks = write_blocks(docs, id_col, text_col, {"target": f"coalesce(({target}), false)"})
+    some = f"`{text_col}` rlike '[^\\\\x20\\\\x09-\\\\x0D]'"
+    blocks = write_blocks(docs, id_col, text_col, {"target": target, "some": some, "target_some": f"({target}) and {some}"})
     path = blocks.path
+    docs_n, docs_t = blocks.table.agg(*[F.coalesce(F.sum(F.col("true")[k]), F.lit(0)) for k in (1, 2)]).first()
     few = ranges_for(blocks.bytes // 64, spark)
     many = ranges_for(blocks.bytes // 8, spark)
 
@@ -127,8 +141,6 @@ def cross_entropy_difference(docs: DataFrame, target: str, id_col: str = "doc_id
     got = word_counts.select("payload").mapInArrow(sums, "n double, t double, rare_n double, rare_t double, kinds double").agg(*[F.coalesce(F.round(F.sum(c)), F.lit(0.0)).alias(c) for c in ("n", "t", "rare_n", "rare_t", "kinds")]).first()
     total, of_target, rare_n, rare_t, vocabulary = got
     vocabulary += rare_n > 0
-    some = F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
-    docs_n, docs_t = docs.agg(F.count_if(some), F.count_if(some & F.expr(target))).first()
     bigram_counts = written(answered(blocks.each(ask_bigrams, QUESTION, word_counts), many, add), "bigrams")
 
     both = word_counts.withColumn("place", F.col("place") * 2).unionByName(bigram_counts.withColumn("place", F.col("place") * 2 + 1))

@@ -61,13 +61,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target: documents that ``labels`` calls good and not toxic."""
-    from .lmscore import cross_entropy_difference
+    """All documents; the target: those that ``labels`` calls good and not toxic."""
+    from .lmscore import cross_entropy_difference, marked
 
     arrow_rows(spark)
-    labels = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("good", F.lit(True))
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
-    return cross_entropy_difference(docs, "good")
+    labels = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return cross_entropy_difference(marked(table(spark, sf_dir, "documents"), labels), "in_target")
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,7 +110,11 @@ class Attempt:
 
     def close(self) -> None:
         self.out.close()
-        self.fs.move(self.temp, self.name)
+        try:
+            self.fs.move(self.temp, self.name)
+        except OSError:  # a file system that moves onto no existing name: an earlier attempt's file makes room
+            self.fs.delete_file(self.name)
+            self.fs.move(self.temp, self.name)
 
 
 # --- minimal perfect hash ----------------------------------------------------------------------------------------
