@@ -137,3 +137,26 @@ def test_op8(spark, documents):
     result = got(spark, "op8_simhash_dedup", "doc_id")
     for k, (d, r) in enumerate(zip(documents, result)):
         assert (r["doc_id"], r["fingerprint"], r["component_id"]) == (d["doc_id"], f"{prints[k]:016x}", documents[root(k)]["doc_id"])
+
+
+def test_op1_odd_rows(spark):
+    """Null, empty, repeated and very long texts, spaces beyond ASCII, null and repeated ids, clashing columns, no rows."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.tokenstore import digests
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    long = "".join(chr(97 + k % 26) + (" " if k % 7 == 0 else "\n\n" if k % 50 == 0 else "") for k in range(2_500_000))
+    texts = [None, "", " ", "a  b  c ", "x　", " y  z", "don't  stop\t\n now ", "<|endoftext|> a<|endoftext|>", "\x1c \x1d a", "同じ 同じ\r\n", long, "twin", "twin"]
+    docs = [(k, x) for k, x in enumerate(texts)] + [(None, "n"), (None, "n"), (3, "other"), (3, "a  b  c ")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 as id", "2 as shard", "3 as copy")
+    got = digests(frame, path).collect()
+    crc = lambda x: zlib.crc32(np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4").tobytes())
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == Counter((i, crc(x)) for i, x in docs)
+    order = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in order] == [sum(r.n_tokens for r in order[:k]) for k in range(len(order))]
+    ids = [r.doc_id for r in order]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert digests(frame.limit(0), path).collect() == []

@@ -17,7 +17,6 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,69 +25,17 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .chunks import encoder
+from .common import scratch, slices, written
 from .textkernel import U64, mix
 
 #: Bytes of text for one shard, and keys for one index bucket.
 SHARD_BYTES = 64 << 20
 BUCKET_KEYS = 20_000  # at most, on average
-#: Chunks of text whose ids a Python worker remembers; beyond it forgets all of them.
-REMEMBERED = 600_000
-
-
-# --- encoding ----------------------------------------------------------------------------------------------------
-
-
-class ChunkEncoder:
-    """The tokenizers library over the distinct white-space-led chunks of many texts.
-
-    A byte-level vocabulary without normaliser never lets a token span from a non-space to a space, so a text's ids are
-    its chunks' ids one after another.  Each new chunk is encoded once by the library and remembered.  Texts with
-    control characters that Python takes for white space and the library doesn't are encoded whole.
-    """
-
-    def __init__(self, path: str) -> None:
-        import os
-        import re
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2") if self.ids <= 1 << 16 else np.dtype("<u4")
-        pre = self.tokenizer.pre_tokenizer
-        self.chunked = self.tokenizer.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space
-        self._split = re.compile(r"\s*\S+|\s+").findall
-        self._odd = frozenset("\x1c\x1d\x1e\x1f")
-        self._known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as bytes."""
-        if not self.chunked:
-            return self.whole(texts)
-        split = [self._split(t) if self._odd.isdisjoint(t) else None for t in texts]
-        known = self._known
-        new = {c for s in split if s for c in s if c not in known}
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = {c for s in split if s for c in s}
-            new = list(new)
-            known.update(zip(new, self.whole(new)))
-        get = known.__getitem__
-        return [b"".join(map(get, s)) if s is not None else self.whole([t])[0] for s, t in zip(split, texts)]
-
-
-@cache
-def encoder(path: str) -> ChunkEncoder:
-    """One for each Python worker."""
-    return ChunkEncoder(path)
+#: Bytes of text encoded and written at a time (a longer text goes alone).
+WRITTEN = 4 << 20
+#: Shards at most: tables with a row for each shard are broadcast or numbered in one task, so their size has this bound.
+MOST_SHARDS = 200_000
 
 
 # --- files -------------------------------------------------------------------------------------------------------
@@ -268,7 +215,7 @@ def write(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int
     width = encoder(vocabulary).dtype.str
     picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = picked.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total.b or 0) // SHARD_BYTES))
+    shards = shards or min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total.b or 0) // SHARD_BYTES)), MOST_SHARDS)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total.n // BUCKET_KEYS))
 
     def encode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,24 +223,25 @@ def write(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int
 
         shard = TaskContext.get().partitionId()
         enc = encoder(vocabulary)
-        end, size = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         out, at, last, copy = None, 0, object(), 0
         for batch in frames:
-            ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            if out is None and ids:
+            if out is None and batch.num_rows:
                 out = Attempt(path, f"shard-{shard:06d}.ids")
-            first, count, copies = [], [], []
-            for k in range(0, len(ids), 200):
-                for i, raw in zip(ids[k : k + 200], enc.encode([t or "" for t in texts[k : k + 200]])):
+            for part in slices(batch, "text", WRITTEN):
+                ids, count = enc.encode(part.column("text"))
+                count += 1  # the end id
+                stop = np.cumsum(count)
+                every = np.full(len(ids) + len(count), end_id, enc.dtype)
+                inside = np.ones(len(every), bool)
+                inside[stop - 1] = False
+                every[inside] = ids
+                out.out.write(every.tobytes())
+                copies = np.empty(len(count), np.int64)
+                for k, i in enumerate(part.column("id").to_pylist()):
                     copy = copy + 1 if i == last else 0
-                    last = i
-                    out.out.write(raw + end)
-                    n = len(raw) // size + 1
-                    first.append(at)
-                    count.append(n)
-                    copies.append(copy)
-                    at += n
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(copies, pa.int64()), pa.array([shard] * len(ids), pa.int32()), pa.array(first, pa.int64()), pa.array(count, pa.int64())], ["id", "copy", "shard", "first", "n_tokens"])
+                    last, copies[k] = i, copy
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(copies), pa.array(np.full(len(count), shard, np.int32)), pa.array(at + stop - count), pa.array(count)], ["id", "copy", "shard", "first", "n_tokens"])
+                at += int(stop[-1])
         if out is not None:
             out.close()
 
