@@ -92,13 +92,11 @@ def over(df: DataFrame, kernel: Kernel, results: str = "centre double, distance
         past = int(pc.sum(table["_late"]).as_py() or 0)
         if past == table.num_rows:
             return
-        columns = {c: table[c].to_numpy() for c in numeric}
-        got = kernel(columns)
+        got = kernel({c: table[c].to_numpy() for c in numeric})
+        table = table.slice(past)
         for name, kind in fields:
             x = np.asarray(got[name])[past:]
-            array = pa.array(x, mask=np.isnan(x)) if kind == "double" else pa.array(x)
-            table = table.append_column(name, array) if not past else table.slice(past).append_column(name, array)
-            past = 0
+            table = table.append_column(name, pa.array(x, mask=np.isnan(x)) if kind == "double" else pa.array(x))
         yield from table.combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,16 +123,31 @@ def over(df: DataFrame, kernel: Kernel, results: str = "centre double, distance
 def carried(df: DataFrame) -> DataFrame:
     """(keys, _stretch, n0, mean0, m0, low0, high0): count, mean, squared deviations and ends of all stretches before.
 
-    Sums of squares are taken about the series' mean; one row for each stretch.
+    One row for each stretch; they are merged in order, so that what comes later, or a spike, costs no digits.
     """
     keys = keys_of(df)
-    parts = df.withColumn("_stretch", F.floor(F.col("n") / STRETCH)).groupBy(*keys, "_stretch").agg(F.count("*").alias("c"), F.avg("v").alias("m"), F.var_pop("v").alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    whole, earlier = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    centre = F.sum(F.col("c") * F.col("m")).over(whole) / F.sum("c").over(whole)
-    gap = F.col("m") - F.col("g")
-    parts = parts.withColumn("g", centre)
-    n, s, q = (F.sum(x).over(earlier) for x in (F.col("c"), F.col("c") * gap, F.col("c") * (F.col("q") + gap * gap)))
-    return parts.select(*keys, "_stretch", F.coalesce(n, F.lit(0)).alias("n0"), (F.col("g") + s / n).alias("mean0"), F.greatest(q - s * s / n, F.lit(0.0)).alias("m0"), F.min("lo").over(earlier).alias("low0"), F.max("hi").over(earlier).alias("high0"))
+    own = df.withColumn("_stretch", F.floor(F.col("n") / STRETCH)).groupBy(*keys, "_stretch")
+    parts = own.agg(F.count("*").alias("c"), F.avg("v").alias("m"), (F.var_pop("v") * F.count("*")).alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, mean, square, low, high = None, 0, 0.0, 0.0, np.inf, -np.inf
+        for batch in batches:
+            out = []
+            for *key, stretch, c, m, q, lo, hi in zip(*(x.to_pylist() for x in batch.columns)):
+                if key != now:
+                    now, n, mean, square, low, high = key, 0, 0.0, 0.0, np.inf, -np.inf
+                out.append((*key, stretch, n, mean, square, low, high))
+                gap = m - mean
+                n, before = n + c, n
+                mean += gap * c / n
+                square += q + gap * gap * before * c / n
+                low, high = min(low, lo), max(high, hi)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), fields)] if out else [pa.array([], f.type) for f in fields], names)
+
+    names = [*keys, "_stretch", "n0", "mean0", "m0", "low0", "high0"]
+    fields = [pa.field(k, pa.string()) for k in keys] + [pa.field(k, pa.int64()) for k in names[len(keys) : len(keys) + 2]] + [pa.field(k, pa.float64()) for k in names[-4:]]
+    schema = ", ".join(f"{k} {kind}" for k, kind in zip(names, ["string"] * len(keys) + ["bigint"] * 2 + ["double"] * 4))
+    return parts.repartition(*keys).sortWithinPartitions(*keys, "_stretch").mapInArrow(run, schema)
 
 
 #: Windows up to which every one is summed by itself.
