@@ -85,12 +85,13 @@ class Blocks:
         return dealt.mapInArrow(run, schema)
 
 
-def write_blocks(docs: DataFrame, id_col: str, text_col: str, flags: dict[str, str] | None = None) -> Blocks:
-    """Write docs (null ids: after all others; null texts: empty) as blocks; flags: boolean columns by SQL (null: false)."""
+def write_blocks(docs: DataFrame, id_col: str, text_col: str, flags: dict[str, str] | None = None, keep: dict[str, str] | None = None) -> Blocks:
+    """Write docs (null ids: after all others; null texts: empty) as blocks; flags: boolean columns by
+    SQL (null: false); keep: further columns by SQL."""
     spark = docs.sparkSession
     path = scratch(spark, "blocks")
-    names = list(flags or {})
-    picked = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(NULL_ID))).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.coalesce(F.expr(sql), F.lit(False)).alias(k) for k, sql in (flags or {}).items()])
+    names, kept = list(flags or {}), [*(flags or {}), *(keep or {})]
+    picked = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(NULL_ID))).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.coalesce(F.expr(sql), F.lit(False)).alias(k) for k, sql in (flags or {}).items()], *[F.expr(sql).alias(k) for k, sql in (keep or {}).items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -109,7 +110,7 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, flags: dict[str, s
 
         for batch in batches:
             text = batch.column("text").cast(pa.large_string())
-            batch = pa.RecordBatch.from_arrays([batch.column("id"), text, *[batch.column(k) for k in names]], ["id", "text", *names])
+            batch = pa.RecordBatch.from_arrays([batch.column("id"), text, *[batch.column(k) for k in kept]], ["id", "text", *kept])
             _, at = utf8(text)
             start = 0
             while start < batch.num_rows:

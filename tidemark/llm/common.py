@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,10 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``; an error where it is unset."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where it is unset, one process gets a temporary folder; on a cluster that is an error, as executors would each write
+    to their own disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        raise ValueError("spark.checkpoint.dir is unset: it names the folder that driver and executors share")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: it names the folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 

@@ -26,6 +26,12 @@ def _donors(bins: int, tries: int) -> np.ndarray:
     return (mix(mix(b + U64(0x1234567)) + t) % U64(bins)).astype(np.int32)
 
 
+#: Bytes of text in a range, ranges at most, and rows sampled for each bound.
+RANGE_BYTES = 64 << 20
+MOST_RANGES = 20_000
+SAMPLED = 20
+
+
 def densify(low: np.ndarray, empty: np.ndarray, tries: int = 64) -> np.ndarray:
     """Fill empty bins, in place: each asks bins in an order that a hash of the bin and the try gives, and copies from
     the first that was not empty.  Rows without any full bin stay as they are."""
@@ -120,21 +126,31 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first as many, or all, of the next one.  Returns (id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next) for every row; null texts count as empty; an empty table gives no rows.
 
-    Rows are dealt to ordered ranges by sampled bounds; the first row of each range is also sent to the range before,
-    so every range has its last row's next document and no row needs a global order.
+    Rows are dealt to ordered ranges of (id, text) by sampled bounds; the first row of each range is also sent to the
+    range before, so every range has its last row's next document and no row needs a global order.  Rows equal in both
+    stay in one range, whose task takes them one batch at a time.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # descending order; ties by a hash of the text, then the text
     key = base.withColumn("k", F.coalesce(F.bitwise_not(F.col("id").cast("bigint")), F.lit((1 << 63) - 1))).withColumn("t", F.xxhash64("text"))
-    steps = [x / parts for x in range(1, parts)]
-    bounds = key.select(F.percentile_approx("k", F.array(*[F.lit(s) for s in steps]), 10000).alias("b")).first().b or []
-    bounds = sorted(set(bounds))
+    total = key.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    parts = parts or min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total.b or 0) // RANGE_BYTES)), MOST_RANGES)
+    # ranges by (id, text's hash) from a bounded sample of rows, so that null and repeated ids are split as well
+    share = min(1.0, SAMPLED * parts / max(total.n, 1))
+    sample = sorted((r.k, r.t) for r in key.where(F.pmod(F.xxhash64("k", "t", F.lit("range")), F.lit(1 << 30)) < int(share * (1 << 30))).select("k", "t").limit(4 * SAMPLED * parts).collect())
+    bounds = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
     if bounds:
-        cut = F.array(*[F.lit(b).cast("bigint") for b in bounds])
-        placed = key.withColumn("part", F.size(F.filter(cut, lambda b: b <= F.col("k"))))
+        # two steps of about the square root: which group of bounds, and where in it
+        side = max(1, int(len(bounds) ** 0.5))
+        groups = [bounds[k : k + side] for k in range(0, len(bounds), side)]
+        pair = lambda b: F.struct(F.lit(b[0]).cast("bigint").alias("k"), F.lit(b[1]).cast("bigint").alias("t"))
+        mine = F.struct("k", "t")
+        coarse = F.size(F.filter(F.array(*[pair(g[0]) for g in groups]), lambda b: b <= mine))
+        fine = F.array(*[F.array(*[pair(b) for b in g]) for g in groups])
+        inside = F.size(F.filter(F.element_at(fine, F.col("coarse")), lambda b: b <= mine))
+        placed = key.withColumn("coarse", coarse).withColumn("part", F.when(F.col("coarse") == 0, 0).otherwise((F.col("coarse") - 1) * side + inside)).drop("coarse")
     else:
         placed = key.withColumn("part", F.lit(0))
     heads = sorted((r.part, r.head) for r in placed.groupBy("part").agg(F.min(F.struct("k", "t")).alias("head")).collect())

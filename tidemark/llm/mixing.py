@@ -94,6 +94,38 @@ def balance(groups: DataFrame, wanted: DataFrame, cap: float = 3.0, ridge: float
     return groups.alias("g").join(dual.alias("d"), F.col("g.source").eqNullSafe(F.col("d.source")), "left").select("g.*", F.coalesce(rate, F.lit(0.0)).alias("rate"), "target")
 
 
+#: Sizes of a source whose rates are rounded in one pass.
+RUN = 256
+
+
+def rounded(rated: DataFrame, cap: int) -> DataFrame:
+    """(source, size, n, rate) -> (source, size, copies): whole numbers of copies, at most cap * n.
+
+    A source's sizes are cut into runs of RUN.  Within a run, from long to short, copies keep the running sum nearest to
+    what the rates have due, so a run ends less than half its shortest text off where the cap leaves room.  The shortest
+    run goes last and starts with what all others were off, so the source ends that near as well.
+    """
+    place = F.row_number().over(Window.partitionBy("source").orderBy("size")) - 1
+    runs = rated.withColumn("run", F.floor(place / RUN)).groupBy("source", "run").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), "n", "rate"))).alias("sizes"))
+    out = "array<struct<size: bigint, copies: bigint>>"
+
+    def carry(state: Column, one: Column) -> Column:
+        size = -one["s"]
+        due = state["due"] + one["n"] * one["rate"] * size
+        copies = F.least(F.greatest(F.round((due - state["got"]) / size), F.lit(0.0)), (one["n"] * cap).cast("double")).cast("long")
+        return F.struct(due.alias("due"), (state["got"] + copies * size).alias("got"), F.concat(state["out"], F.array(F.struct(size.alias("size"), copies.alias("copies")))).alias("out"))
+
+    def settled(frame: DataFrame, begun: Column) -> DataFrame:
+        start = F.struct(begun.cast("double").alias("due"), F.lit(0.0).alias("got"), F.array().cast(out).alias("out"))
+        return frame.withColumn("done", F.aggregate("sizes", start, carry))
+
+    long = written(settled(runs.where("run > 0"), F.lit(0)).select("source", "done"), "runs")
+    off = long.groupBy("source").agg(F.sum(F.col("done.due") - F.col("done.got")).alias("off"))
+    short = runs.where("run = 0").alias("r").join(off.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source")), "left").select("r.source", "sizes", F.coalesce("off", F.lit(0.0)).alias("off"))
+    every = long.unionByName(settled(short, F.col("off")).select("source", "done"))
+    return every.select("source", F.explode("done.out").alias("o")).select("source", "o.size", "o.copies")
+
+
 def mix(docs: DataFrame, cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", salt_rows: int = 500) -> DataFrame:
     """Returns every row of docs as (id_col, size, source, source_size, target, rate, copies, taken).
 
@@ -118,17 +150,7 @@ def mix(docs: DataFrame, cap: int = 3, id_col: str = "doc_id", text_col: str = "
     if moments.m is not None:
         spread = max(1e-6, (moments.r**2 - moments.m**2) ** 0.5 if moments.r**2 > moments.m**2 else 1.0)
     rated = balance(groups.where("size > 0").withColumn("x", (words - mean) / spread), wanted, float(cap))
-    # per source, from long to short: copies of each size so that the running sum stays nearest the source's target
-    ordered = rated.groupBy("source", "target").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), "n", "rate"))).alias("sizes"))
-    empty = F.expr("named_struct('due', 0D, 'got', 0D, 'out', cast(array() as array<struct<size: bigint, copies: bigint>>))")
-
-    def carry(state: Column, one: Column) -> Column:
-        size = -one["s"]
-        due = state["due"] + one["n"] * one["rate"] * size
-        copies = F.least(F.greatest(F.round((due - state["got"]) / size), F.lit(0.0)), (one["n"] * cap).cast("double")).cast("long")
-        return F.struct(due.alias("due"), (state["got"] + copies * size).alias("got"), F.concat(state["out"], F.array(F.struct(size.alias("size"), copies.alias("copies")))).alias("out"))
-
-    dealt = ordered.select("source", F.explode(F.aggregate("sizes", empty, carry)["out"]).alias("o")).select("source", "o.size", "o.copies")
+    dealt = rounded(rated, cap)
     plan = groups.alias("g").join(dealt.alias("d"), F.col("g.source").eqNullSafe(F.col("d.source")) & (F.col("g.size") == F.col("d.size")), "left").select("g.source", "g.size", "n", F.coalesce("copies", F.lit(0)).alias("copies"))
     plan = plan.alias("p").join(wanted.alias("w"), F.col("p.source").eqNullSafe(F.col("w.source"))).select("p.*", "source_size", "target", F.ceil(F.col("n") / F.lit(salt_rows)).alias("salts"))
     plan = written(plan, "plan")

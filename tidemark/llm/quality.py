@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import discard, slices, utf8, written
 from .textkernel import LOWER, U64, span_hashes, word_spans
 
 #: Slots of the hashed scorer: byte trigrams, shape 4-grams, and bands of the statistics.
@@ -201,24 +201,31 @@ def _arrays(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def fit(docs: DataFrame, text_col: str = "text", train_rows: int = 4096) -> Scorer:
-    """Fit on docs: labeller votes and EM over every row, the linear scorer on a sample of about ``train_rows`` rows.
+    """Fit on docs: labeller votes and EM over every row, the linear scorer on a sample of ``train_rows`` texts.
 
     The vote patterns (at most 3 to the power of 8, whatever the input) are counted by Spark and EM runs over the
-    counts.  The sample takes rows by a hash of their text, each at most once for its text.
+    counts.  The sample are the texts with the least hashes, each once however many rows have it, so reruns agree; a
+    task keeps at most ``train_rows`` hashes and so many texts come to the driver.
     """
-    text = docs.select(F.col(text_col).cast("string").alias("_text"))
+    text = docs.select(F.col(text_col).cast("string").alias("_text")).withColumn("_h", F.when(F.col("_text").isNotNull(), F.xxhash64("_text", F.lit("train"))))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = 3 ** np.arange(len(STATS))
+        least = np.zeros(0, np.int64)
         for batch in batches:
+            least = np.unique(np.concatenate([least, batch.column("_h").drop_null().to_numpy()]))[:train_rows]
             for part in slices(batch, "_text"):
                 _, _, stats, words = _arrays(part)
                 pattern, n = np.unique(votes_of(stats, words) @ base, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(n)], ["pattern", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(n), pa.nulls(len(n), pa.int64())], ["pattern", "n", "h"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(least), pa.int64()), pa.nulls(len(least), pa.int64()), pa.array(least)], ["pattern", "n", "h"])
 
-    rows = text.mapInArrow(vote, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    votes = written(text.mapInArrow(vote, "pattern bigint, n bigint, h bigint"), "votes")
+    rows = votes.where("pattern is not null").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     if not rows:
         return Scorer(np.zeros(SLOTS), 0.0, 0.5, {})
+    picked = votes.where("h is not null").select("h").distinct().orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
+    discard(votes)
     code = np.array([r.pattern for r in rows])
     patterns = code[:, None] // 3 ** np.arange(len(STATS)) % 3
     counts = np.array([r.n for r in rows], float)
@@ -232,11 +239,10 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = 4096) -> Scor
                 data, at, stats, words = _arrays(part)
                 x = features_of(data, at, stats).astype(np.float16)
                 y = [posterior.get(p, prior) for p in (votes_of(stats, words) @ base).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), pa.array(y)], ["x", "y"])
+                yield pa.RecordBatch.from_arrays([part.column("_h"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(y)], ["h", "x", "y"])
 
-    share = min(1.0, train_rows / counts.sum())
-    pick = text.where(F.col("_text").isNotNull() & (F.pmod(F.xxhash64("_text", F.lit("train")), F.lit(1 << 30)) < int(share * (1 << 30))))
-    sample = pick.mapInArrow(featured, "x binary, y double").limit(2 * train_rows).collect()
+    once = text.where(F.col("_h") <= F.lit(picked)).groupBy("_h").agg(F.min("_text").alias("_text"))
+    sample = sorted(once.mapInArrow(featured, "h bigint, x binary, y double").collect(), key=lambda r: r.h)
     if not sample:
         return Scorer(np.zeros(SLOTS), float(np.log(prior / (1 - prior))), prior, {})
     x = np.stack([np.frombuffer(r.x, np.float16).astype(np.float32) for r in sample])

@@ -170,6 +170,10 @@ def meet(anchor: np.ndarray, visits: np.ndarray, fp: np.ndarray, rep: np.ndarray
     return forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
 
 
+#: Fingerprints that a task compares, on average, some 45 rows of 25 bytes each.
+TASK_PRINTS = 50_000
+
+
 def links(prints: DataFrame, distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
     """prints: (fp, rep), fingerprints distinct.  Returns (a, b): edges that connect the same reps as all the links."""
     if not 0 <= distance <= 5:
@@ -190,7 +194,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, parts: int | None = None)
             a, b = meet(anchor, visits, fp.view(np.uint64), rep, distance)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    parts = parts or int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    conf = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(conf, -(-prints.count() // TASK_PRINTS))
     dealt = prints.mapInArrow(deal, "anchor bigint, visits boolean, fp bigint, rep bigint").repartition(parts, "anchor")
     return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
 

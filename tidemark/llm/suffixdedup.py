@@ -215,7 +215,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    blocks = write_blocks(docs, id_col, text_col, {f"keep_{k}": f"`{c}`" for k, c in enumerate(keep)})
+    blocks = write_blocks(docs, id_col, text_col, keep={f"keep_{k}": f"`{c}`" for k, c in enumerate(keep)})
     path = blocks.path
     extra = [f"keep_{k}" for k in range(len(keep))]
     ranges = ranges_for(blocks.bytes // 18, spark)
