@@ -143,7 +143,7 @@ def test_streams_score_as_batches(spark, tmp_path, name, step, batch, options):
     values = np.random.default_rng(5).normal(100, 10, 32)
     values[20] = 300
     got = streamed(spark, tmp_path, name, step, values, **options)
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     points = spark.createDataFrame([("s", (k + 1) * 400_000_000, float(v)) for k, v in enumerate(values)], "topic string, t bigint, v double")
     want = sorted(batch(points).collect(), key=lambda r: r.t)
     assert len(got) == 32 and any(r.is_outlier for r in want)
