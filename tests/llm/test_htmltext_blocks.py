@@ -29,3 +29,15 @@ def test_sites_of_few_pages(spark):
     want |= {k: f"{k} The same long text on two pages of one site, but for its date." for k in (10, 11)}
     want |= {k: f"The same text in an article. Page {k}" for k in (20, 21)}
     assert texts(spark, rows) == want
+
+
+def test_the_tree_finds_frames_by_itself(spark):
+    """Navigation and footer have low importance by their texts, whatever they are called; articles don't."""
+    from tidemark.llm.htmltext import blocks_of, extract, low_branches
+
+    page = "<body><div class=q1><ul><li>Home</li><li>About us</li></ul></div><nav><a>Start</a></nav><div class=q2><p>Story {0} of day {0}</p></div><footer>All rights held</footer></body>"
+    html = [page.format(k) for k in range(8)]
+    low = {r.path for r in low_branches(spark.createDataFrame([(f"http://h.example/{k}", h) for k, h in enumerate(html)], "url string, html string")).collect()}
+    every = {text: path for path, _, text, _ in blocks_of(html[0], every=True)}
+    assert {t for t, p in every.items() if p in low} == {"Home", "About us", "Start", "All rights held"}
+    assert extract(html[3], low) == "Story 3 of day 3"

@@ -69,3 +69,19 @@ def test_nulls_and_repeats(spark):
 
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_pieces_of_one_hash_are_compared(monkeypatch):
+    """Where hashes collide, different pieces stay apart."""
+    from tidemark.llm import suffixdedup as S
+
+    pieces = [b"a" * 50, b"b" * 50, b"a" * 50, b"c" * 51, b"d" * 60]
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    size = np.array([len(p) for p in pieces])
+    start = np.cumsum(size) - size
+    owner, anchor = np.array([5, 4, 3, 2, 1]), np.zeros(5, np.uint64)
+    one, of = S._merged(data, start, size, owner, anchor)
+    assert len(one) == 4 and of[0] == of[2] and owner[one[of[0]]] == 3
+    monkeypatch.setattr(S, "_text_hashes", lambda data, start, end, step=0: np.zeros(len(start), np.uint64))
+    one, of = S._merged(data, start, size, owner, anchor)
+    assert all(pieces[k] == pieces[one[of[k]]] for k in range(5))

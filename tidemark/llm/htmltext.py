@@ -110,11 +110,14 @@ def _path(parent: int, step: str) -> int:
     return got
 
 
-def blocks_of(html: str) -> list[tuple[int, bool, str, str]]:
-    """(path, inside an article, text, inline mark-up) of each text block of a page that its mark-up doesn't rule out."""
+def blocks_of(html: str, every: bool = False) -> list[tuple[int, bool, str, str]]:
+    """(path, inside an article, text, inline mark-up) of each text block of a page that its mark-up doesn't rule out.
+
+    every: blocks that are ruled out as well; inline elements that are ruled out never count.
+    """
     out: list[tuple[int, bool, str, str]] = []
-    # tag, noise, inside main, path of the nearest block
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
+    # tag, noise, inside main, path of the nearest block, whether that block is noise
+    stack: list[tuple[str, bool, bool, int, bool]] = [("", False, False, 0, False)]
     text: list[str] = []
     marks: list[str] = []
 
@@ -122,28 +125,32 @@ def blocks_of(html: str) -> list[tuple[int, bool, str, str]]:
         if text:
             line = " ".join(unescape("".join(text)).split())
             if line:
-                _, _, main, path = stack[-1]
+                _, _, main, path, _ = stack[-1]
                 out.append((path, main, line, ",".join(marks)))
             text.clear()
         marks.clear()
 
+    def read() -> bool:
+        """Whether text at this place counts."""
+        return not stack[-1][1] or every and stack[-1][4]
+
     at, size = 0, len(html)
     find = _TOKEN.search
     while at < size:
         m = find(html, at)
         if m is None:
-            if not stack[-1][1]:
+            if read():
                 rest = html[at:]
                 cut = re.search(r"<[a-zA-Z/!?][^<>]*\Z", rest)  # a tag that the page's end cuts off
                 text.append(rest[: cut.start()] if cut else rest)
             break
         start, end = m.span()
-        if start > at and not stack[-1][1]:
+        if start > at and read():
             text.append(html[at:start])
         at = end
         tag = m[2]
         if tag is None:
-            if html.startswith("<![CDATA[", start) and not stack[-1][1]:
+            if html.startswith("<![CDATA[", start) and read():
                 text.append(html[start + 9 : end - 3].replace("&", "&amp;"))
             continue
         tag = tag.lower()
@@ -167,12 +174,12 @@ def blocks_of(html: str) -> list[tuple[int, bool, str, str]]:
         if tag in INLINE:
             marks.append(tag)
             if tag in ("br", "img", "wbr"):
-                if tag == "br" and not stack[-1][1]:
+                if tag == "br" and read():
                     text.append(" ")
                 continue
             style = _style(tag, m[3])
             top = stack[-1]
-            stack.append((tag, top[1] or style.noise or (style.outside and not top[2]), top[2], top[3]))
+            stack.append((tag, top[1] or style.noise or (style.outside and not top[2]), top[2], top[3], top[4]))
             continue
         flush()
         if tag in VOID:
@@ -189,7 +196,7 @@ def blocks_of(html: str) -> list[tuple[int, bool, str, str]]:
         style = _style(tag, m[3])
         top = stack[-1]
         noise = top[1] or style.noise or (style.outside and not top[2])
-        stack.append((tag, noise, top[2] or style.main, _path(top[3], style.step)))
+        stack.append((tag, noise, top[2] or style.main, _path(top[3], style.step), noise))
     flush()
     return out
 
@@ -215,7 +222,7 @@ def low_branches(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     Equal pages of a host count once.  For a node on m different pages, a text on c of them has entropy log c / log m;
     content importance is one minus the mean over the node's different texts, presentation importance the entropy of
     its mark-up sequences; composite = 0.9 content + 0.1 presentation, and 0.1 more in an article.  A node in an article
-    on fewer than FEW_PAGES pages is important.
+    on fewer than FEW_PAGES pages is important.  Every block counts here, also those that the mark-up rules out later.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +230,7 @@ def low_branches(pages: DataFrame, url_col: str = "url", html_col: str = "html")
             seen = set()
             for url, html in zip(batch.column("_url").to_pylist(), batch.column("_html").to_pylist()):
                 host, page = host_of(url), xxhash.xxh64_intdigest((html or "").encode("utf-8", "replace")) - (1 << 63)
-                for path, main, text, marks in blocks_of(html or ""):
+                for path, main, text, marks in blocks_of(html or "", every=True):
                     seen.add((host, path, main, page, xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 1) - (1 << 63), xxhash.xxh64_intdigest(marks.encode(), 2) - (1 << 63)))
             if seen:
                 host, path, main, page, text, marks = zip(*seen)

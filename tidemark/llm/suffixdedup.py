@@ -197,6 +197,37 @@ def _text_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int
     return np.concatenate([span_hashes(data[start[k] : end[min(k + step, len(end)) - 1]], start[k : k + step] - start[k], end[k : k + step] - start[k]) for k in range(0, len(start), step)])
 
 
+def _same(data: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, step: int = 20_000) -> np.ndarray:
+    """Whether data[start : start + size] and data[other : other + size] agree byte for byte, for each of many."""
+    out = np.ones(len(start), bool)
+    for k in range(0, len(start), step):
+        n = size[k : k + step].astype(np.int64)
+        if len(n):
+            differ = data[_expand(start[k : k + step], n)] != data[_expand(other[k : k + step], n)]
+            out[k : k + step] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+    return out
+
+
+def _merged(data: np.ndarray, start: np.ndarray, size: np.ndarray, owner: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one, of): equal pieces once, by (anchor, hash) with the least owner of each, and the place of every piece in it.
+
+    Pieces of one hash are compared byte for byte; where they differ none of that hash is merged.
+    """
+    text = _text_hashes(data, start, start + size)
+    order = np.lexsort((owner, text, anchor))
+    new = np.ones(len(order), bool)
+    new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (text[order][1:] != text[order][:-1])
+    head = order[new][np.cumsum(new) - 1]  # in order: the first piece of each run
+    alike = size[order] == size[head]
+    alike[alike] = _same(data, start[order[alike]], size[order[alike]], start[head[alike]])
+    if not alike.all():
+        mixed = np.isin(text[order], text[order][~alike])
+        new |= mixed
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
 def _expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start[i], start[i]+1, ... n[i] of them, end to end."""
     edge = np.cumsum(n) - n
@@ -243,13 +274,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hit = wanted[np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)] == anchor
         start, end, owner, anchor = start[hit], end[hit], owner[hit], anchor[hit]
         data, _ = utf8(batch.column("text"))
-        text = _text_hashes(data, start, end)
-        order = np.lexsort((owner, text, anchor))
-        new = np.ones(len(order), bool)
-        new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (text[order][1:] != text[order][:-1])
-        one = order[new]
-        number = np.empty(len(order), np.uint32)
-        number[order] = np.cumsum(new) - 1
+        one, number = _merged(data, start, end - start, owner, anchor)
+        number = number.astype(np.uint32)
         file = Attempt(path, f"pieces-{block}.bin")
         file.out.write(packed(start, number))
         file.close()
@@ -278,13 +304,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         anchor, size, owner, data = (np.concatenate([b[k] for b in blobs]) for k in range(4))
         end = np.cumsum(size.astype(np.int64))
         start = end - size
-        text = _text_hashes(data, start, end)
-        order = np.lexsort((owner, text, anchor))
-        new = np.ones(len(order), bool)
-        new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (text[order][1:] != text[order][:-1])
-        one = order[new]  # each different piece once, with its least owner
-        of = np.empty(len(order), np.int64)
-        of[order] = np.cumsum(new) - 1
+        one, of = _merged(data, start, size.astype(np.int64), owner, anchor)  # each different piece once, with its least owner
         a = anchor[one]
         head = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
         members = np.diff(np.append(head, len(a)))
