@@ -45,6 +45,8 @@ def test_samples(spark):
 
 def test_text_log(spark):
     lines = ['SimpleTimeSeries:"a.b"[(1440, 2.5), (1450,  -3e2)]', 'SimpleTimeSeries:"q\\"x\\u0041"[(1, 7)]', "SimpleTimeSeries:broken[(1, 2)]", 'SimpleTimeSeries:"c"[]', "other", None]
+    long = 'SimpleTimeSeries:"long"[' + ",".join(f"({k}, {k}.5)" for k in range(50_000)) + "]"
+    assert S.text_log(spark.createDataFrame([(long,)], "value string")).count() == 50_000
     got = sorted_points(S.text_log(spark.createDataFrame([(x,) for x in lines], "value string")))
     assert got == [("a.b", 1_440_000, 2.5), ("a.b", 1_450_000, -300.0), ('q"xA', 1000, 7.0)]
 

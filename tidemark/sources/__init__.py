@@ -70,12 +70,19 @@ def synthetic(spark: SparkSession, values: list[float], start_ms: int, period_ms
 #: Fixed forms of a log line: SimpleTimeSeries:"topic"[(seconds, value), ...]
 _PARTS = r"\(\s*{0}[0-9]+{1}\s*,\s*{0}-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?{1}\s*\)"
 _POINT, _ANY = _PARTS.format("(", ")"), _PARTS.format("", "")
-_LINE = r'^SimpleTimeSeries:("(?:[^"\\]|\\.)*")\s*\[\s*(' + _ANY + r"(?:\s*,\s*" + _ANY + r")*)\s*\]\s*$"
+_HEAD = r'^SimpleTimeSeries:("[^"\\]*(?:\\.[^"\\]*)*")\s*\['
+_BODY = _HEAD + r"([\s\S]*)\]\s*$"
 
 
 def text_log(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Points of log lines; other lines give none.  Topics may hold JSON's escapes; seconds become milliseconds."""
-    found = lines.where(F.col(column).rlike(_LINE)).select(F.regexp_extract(column, _LINE, 1).alias("label"), F.regexp_extract(column, _LINE, 2).alias("body"))
+    """Points of log lines; other lines give none.  Topics may hold JSON's escapes; seconds become milliseconds.
+
+    A line's form is checked by what is left once its points are taken out: one pattern for a whole list of points would
+    need a stack as deep as the list is long.
+    """
+    found = lines.where(F.col(column).rlike(_BODY)).select(F.regexp_extract(column, _HEAD, 1).alias("label"), F.regexp_extract(column, _BODY, 2).alias("body"))
+    shape = F.regexp_replace(F.regexp_replace("body", _ANY, "P"), r"\s+", "")
+    found = found.where(F.regexp_replace(shape, ",P", "") == "P")
     topic = F.get_json_object(F.concat(F.lit('{"k":'), "label", F.lit("}")), "$.k")
     both = F.arrays_zip(F.regexp_extract_all("body", F.lit(_POINT), F.lit(1)).alias("s"), F.regexp_extract_all("body", F.lit(_POINT), F.lit(2)).alias("v"))
     return found.select(topic.alias("topic"), F.explode(both).alias("p")).select("topic", (F.col("p.s").cast("bigint") * 1000).alias("t"), F.col("p.v").cast("double").alias("v"))
