@@ -19,13 +19,12 @@ SEED = 42
 DISTANCE = 4
 
 
-def fingerprints_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each row's text; 0 for a row without words."""
+def shingle_hashes(data: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The XXH64 of each row's shingles of ``size`` words end to end, repeats included, and each row's number of them."""
     rows = len(at) - 1
-    out = np.zeros(rows, np.uint64)
     start, end, row = word_spans(data, at)
     if not len(start):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(rows, np.int64)
     # words joined by one space each, so that every shingle is one slice
     text = LOWER[data]
     keep = ~SPACE[data]
@@ -38,12 +37,17 @@ def fingerprints_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     start, end = place[start], place[end]
     n = np.bincount(row, minlength=rows)
     first = np.concatenate(([0], np.cumsum(n)[:-1]))
-    last = np.minimum(np.arange(len(row)) + SHINGLE - 1, (first + n - 1)[row])
-    whole = np.arange(len(row)) - first[row] <= np.maximum(n[row] - SHINGLE, 0)
+    last = np.minimum(np.arange(len(row)) + size - 1, (first + n - 1)[row])
+    whole = np.arange(len(row)) - first[row] <= np.maximum(n[row] - size, 0)
     digest = xxhash.xxh64_intdigest
     spans = zip(start[whole].tolist(), end[last[whole]].tolist())
-    h = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
-    count = np.maximum(n - SHINGLE + 1, np.minimum(n, 1))
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64), np.maximum(n - size + 1, np.minimum(n, 1))
+
+
+def fingerprints_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each row's text; 0 for a row without words."""
+    h, count = shingle_hashes(data, at)
+    out = np.zeros(len(count), np.uint64)
     some = np.flatnonzero(count)
     edge = np.concatenate(([0], np.cumsum(count[some])))
     ones = np.empty((len(some), 64), np.int64)
