@@ -54,16 +54,6 @@ def contained(kernel: Kernel) -> Kernel:
     return run
 
 
-def _key_starts(batch: pa.RecordBatch, names: list[str]) -> list[int]:
-    change = np.ones(batch.num_rows, bool)
-    change[1:] = False
-    for k in names:
-        column = batch.column(k)
-        same = pc.fill_null(pc.equal(column.slice(1), column.slice(0, batch.num_rows - 1)), False)
-        change[1:] |= ~same.to_numpy(zero_copy_only=False)
-    return np.flatnonzero(change).tolist()
-
-
 def over(df: DataFrame, kernel: Kernel, results: str = "centre double, distance double", halo: int = 0, more: tuple[str, ...] = (), state: DataFrame | None = None) -> DataFrame:
     """df (with n, from ``numbered``) with the kernel's columns.
 
@@ -82,42 +72,24 @@ def over(df: DataFrame, kernel: Kernel, results: str = "centre double, distance
         dealt = dealt.withColumn("_late", F.explode(twice)).withColumn("_stretch", F.col("_stretch") + F.col("_late"))
     else:
         dealt = dealt.withColumn("_late", F.lit(0))
-    dealt = dealt.repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", "n")
     names = [*keys, "_stretch"]
     fields = [r.strip().split(" ") for r in results.split(",")]
     numeric = [c for c, kind in dealt.dtypes if kind in ("bigint", "int", "double")]
 
-    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks()
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("n").combine_chunks()
         past = int(pc.sum(table["_late"]).as_py() or 0)
-        if past == table.num_rows:
-            return
-        got = kernel({c: table[c].to_numpy() for c in numeric})
+        # a stretch that nothing but a halo reaches has no points to score
+        got = kernel({c: table[c].to_numpy() for c in numeric}) if past < table.num_rows else {name: np.zeros(past) for name, _ in fields}
         table = table.slice(past)
         for name, kind in fields:
             x = np.asarray(got[name])[past:]
             table = table.append_column(name, pa.array(x, mask=np.isnan(x)) if kind == "double" else pa.array(x))
-        yield from table.combine_chunks().to_batches()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last: tuple = ()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            starts = _key_starts(batch, names)
-            for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
-                key = tuple(batch.column(k)[lo].as_py() for k in names)
-                if held and key != last:
-                    yield from flush(held)
-                    held = []
-                last = key
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from flush(held)
+        return table
 
     schema = ", ".join(f"`{c}` {kind}" for c, kind in dealt.dtypes)
-    return dealt.mapInArrow(run, f"{schema}, {results}").drop("_stretch", "_late", *([c for c in state.columns if c not in names] if state is not None else []))
+    # grouped, as a repartition may be folded into the join with the state, whose rows adaptive execution deals otherwise
+    return dealt.groupBy(*names).applyInArrow(run, f"{schema}, {results}").drop("_stretch", "_late", *([c for c in state.columns if c not in names] if state is not None else []))
 
 
 def carried(df: DataFrame) -> DataFrame:
