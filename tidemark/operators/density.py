@@ -5,7 +5,7 @@ A batch is a tumbling window of a series (or the whole series); it is what one t
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,15 +19,135 @@ from .stretch import keys_of, last_moments, numbered, over
 PRECISION, STEPS = 1e-3, 20
 
 
+#: Pairs of points that are compared at once.
+PAIRS = 1 << 20
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(k, p) for each k and every place p in start[k] : start[k] + size[k], some PAIRS at a time."""
+    work, lo = np.concatenate(([0], np.cumsum(size))), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(work, work[lo] + PAIRS, side="right")) - 1)
+        k = np.repeat(np.arange(lo, hi), size[lo:hi])
+        yield k, start[k] + np.arange(len(k)) + work[lo] - work[k]
+        lo = hi
+
+
+def _touch(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
+    """Whether a point of a and one of b lie within eps of each other; those nearest the other's box are tried first."""
+    for _ in range(2):
+        away = (np.maximum(np.maximum(b.min(axis=0) - a, a - b.max(axis=0)), 0) ** 2).sum(axis=1)
+        near = away <= eps * eps * (1 + 1e-9)
+        if not near.any():
+            return False
+        a, b = b, a[near][np.argsort(away[near])]
+    lo, step = 0, 64
+    while lo < len(a):
+        wide = max(1, PAIRS // step)
+        if any((((a[lo : lo + step, None] - b[None, k : k + wide]) ** 2).sum(axis=2) <= eps * eps).any() for k in range(0, len(b), wide)):
+            return True
+        lo, step = lo + step, min(2 * step, 4096)
+    return False
+
+
 def clusters(x: np.ndarray, eps: float, least: int) -> np.ndarray:
-    """Density clusters of points sorted by their first axis; -1 is noise.  Neighbours do not count the point itself."""
+    """Density clusters of points (rows, 1 or 2 axes); -1 is noise.  Neighbours do not count the point itself.
+
+    Clusters are numbered by their first core point; a point at the edge of several belongs to the first of them.
+    Points are put into cells so small that all of one are neighbours.  A cell of over ``least`` points is core as it
+    is; only points of other cells are compared with those of the cells around, so a dense batch costs no square.
+    """
     n = len(x)
-    if not eps >= 0 or np.isnan(x).any():
+    if not n or not eps >= 0 or np.isnan(x).any():
         return np.full(n, -1)
-    reach_lo, reach_hi = np.searchsorted(x[:, 0], x[:, 0] - eps), np.searchsorted(x[:, 0], x[:, 0] + eps, side="right")
-    near = lambda k: reach_lo[k] + np.flatnonzero(((x[reach_lo[k] : reach_hi[k]] - x[k]) ** 2).sum(axis=1) <= eps * eps)
-    label, at = np.full(n, -1), 0
-    for k in range(n):
+    low = x.min(axis=0)
+    side = eps / np.sqrt(x.shape[1]) * (1 - 1e-9)
+    if eps == 0:  # only equal points are near
+        _, first, of, size = np.unique(x, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        rank = np.empty(len(first), np.int64)
+        rank[np.argsort(np.where(size > least, first, n), kind="stable")] = np.arange(len(first))
+        return np.where(size > least, rank, -1)[of.ravel()]
+    if not (side > 0 and ((x.max(axis=0) - low) / side < 2.0**31).all()):  # cells beyond what a double tells apart
+        return _clusters_by_order(x, eps, least)
+    place = np.floor((x - low) / side).astype(np.int64)
+    place = place if place.shape[1] == 2 else np.column_stack((place[:, 0], np.zeros(n, np.int64)))
+    code = (place[:, 0] << 32) + place[:, 1]
+    order = np.argsort(code, kind="stable")
+    x = x[order]
+    cell, first, of, size = np.unique(code[order], return_index=True, return_inverse=True, return_counts=True)
+    across = range(-2, 3) if x.shape[1] == 2 else (0,)
+    around = sorted(((i, j) for i in range(-2, 3) for j in across if (i, j) != (0, 0)), key=lambda d: d[0] * d[0] + d[1] * d[1])
+
+    def beside(d: tuple[int, int]) -> np.ndarray:
+        """Index of each cell's neighbour in direction d, -1 where there is none."""
+        to = cell + (d[0] << 32) + d[1]
+        at = np.minimum(np.searchsorted(cell, to), len(cell) - 1)
+        inside = (cell & 0xFFFFFFFF) + d[1] >= 0
+        return np.where((cell[at] == to) & inside, at, -1)
+
+    def pairs(mine: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Neighbours (p, q) of the points ``mine`` in the cells around their own."""
+        for d in around:
+            to = beside(d)[of[mine]]
+            have = mine[to >= 0]
+            to = to[to >= 0]
+            for k, q in _spans(first[to], size[to]):
+                p = have[k]
+                hit = ((x[p] - x[q]) ** 2).sum(axis=1) <= eps * eps
+                yield p[hit], q[hit]
+
+    core = size[of] > least
+    sparse = np.flatnonzero(~core)
+    count = size[of] - 1
+    for p, _ in pairs(sparse):
+        count += np.bincount(p, minlength=n)
+    core[sparse] = count[sparse] >= least
+
+    up = np.arange(len(cell))
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    alive = np.bincount(of[core], minlength=len(cell)) > 0
+    own = lambda c: x[first[c] : first[c] + size[c]][core[first[c] : first[c] + size[c]]]
+    for d in around:
+        if d < (0, 0):
+            continue
+        to = beside(d)
+        for c in np.flatnonzero((to >= 0) & alive & alive[to]).tolist():
+            a, b = root(c), root(int(to[c]))
+            if a != b and _touch(own(c), own(int(to[c])), eps):
+                up[max(a, b)] = min(a, b)
+    # number the clusters by the first of their core points, in the order given
+    group = np.array([root(k) for k in range(len(cell))])[of]
+    earliest = np.full(len(cell), n)
+    np.minimum.at(earliest, group[core], order[core])
+    ranks = np.argsort(earliest, kind="stable")
+    number = np.empty(len(cell), np.int64)
+    number[ranks] = np.arange(len(cell))
+    label = np.where(core, number[group], n)
+    edge = np.flatnonzero(~core)
+    for p, q in pairs(edge):
+        np.minimum.at(label, p[core[q]], number[group[q[core[q]]]])
+    if len(edge):  # core points of a point's own cell
+        inner = np.full(len(cell), n)
+        np.minimum.at(inner, of[core], number[group[core]])
+        label[edge] = np.minimum(label[edge], inner[of[edge]])
+    out = np.empty(n, np.int64)
+    out[order] = np.where(label < n, label, -1)
+    return out
+
+
+def _clusters_by_order(x: np.ndarray, eps: float, least: int) -> np.ndarray:
+    """The same for a reach so small that few points lie within it along the first axis."""
+    order = np.argsort(x[:, 0], kind="stable")
+    along = x[order, 0]
+    lo, hi = np.searchsorted(along, x[:, 0] - eps), np.searchsorted(along, x[:, 0] + eps, side="right")
+    near = lambda k: order[lo[k] : hi[k]][((x[order[lo[k] : hi[k]]] - x[k]) ** 2).sum(axis=1) <= eps * eps]
+    label, at = np.full(len(x), -1), 0
+    for k in range(len(x)):
         if label[k] >= 0 or len(near(k)) - 1 < least:
             continue
         todo = [k]
