@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce as fold
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import common_prefix
 from .stretch import keys_of
 
+#: Rows that a task groups, on average, where groups are about as many as rows.
+TASK_ROWS = 250_000
+
 
 def by_time(*keys: str) -> "Window":
     return Window.partitionBy(*(keys or ("topic",))).orderBy("t")
@@ -19,11 +24,15 @@ def prior(n: int | None = None, *keys: str) -> "Window":
 
 
 def merge(*points: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """Union of points; values of one topic (and plan, cohort or what else ``more`` names) and time are averaged."""
-    every = points[0]
-    for p in points[1:]:
-        every = every.unionByName(p)
-    return every.where("v is not null").groupBy(*more, "topic", "t").agg(F.avg("v").alias("v"))
+    """Union of points; values of one topic (and plan, cohort or what else ``more`` names) and time are averaged.
+
+    Nearly every row is a group of its own, so tasks are counted by rows: what one holds doesn't grow with the input.
+    """
+    every = fold(DataFrame.unionByName, points).where("v is not null")
+    if not every.isStreaming:
+        parts = max(int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-every.count() // TASK_ROWS))
+        every = every.repartition(parts, *more, "topic", "t")
+    return every.groupBy(*more, "topic", "t").agg(F.avg("v").alias("v"))
 
 
 def cohort_merge(*cohorts: DataFrame) -> DataFrame:
