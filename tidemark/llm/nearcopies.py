@@ -3,12 +3,14 @@
 A 64-bit fingerprint at 4 differing bits finds few texts of Jaccard 0.8, which differ in about 15 of 100 bits.  Here a
 fingerprint has 512 bits, and 48 samples of 22 of them each have their own covering code.  A fingerprint goes to every
 anchor within the covering radius in each sample, and two that meet anywhere link if all 512 bits are alike enough.
+Pairs that this leaves out are found by a prefix join on shingles and compared by their whole sets of shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,12 @@ SMALL = 64
 #: Fingerprints that a task compares, on average: 48 rows of about 90 bytes each.
 TASK_PRINTS = 10_000
 _RUN = 255  # shingles summed in one byte
+#: Shingles of one in HEAVY_SHARE texts are counted; those that occur there HEAVY_LEAST times, HEAVY_MOST of them, come
+#: last in every prefix.  Any order gives the same links, this one compares fewer texts.
+HEAVY_SHARE, HEAVY_LEAST, HEAVY_MOST = 32, 3, 1 << 18
+#: Shingles of prefixes that a task takes, on average: 32 bytes each.
+TASK_SHINGLES = 500_000
+EPS = 1e-9
 
 
 def most_bits(similarity: float) -> int:
@@ -48,13 +56,23 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(rows, WORDS): a bit is 1 if set in over half of the text's different shingles; zero for a text without words."""
+def shingle_sets(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The hashes of each row's different shingles, in order."""
     h, count = shingle_hashes(data, at, SHINGLE)
-    out = np.zeros((len(count), WORDS), np.uint64)
     edge = np.concatenate(([0], np.cumsum(count)))
-    for k in np.flatnonzero(count):
-        own = np.unique(h[edge[k] : edge[k + 1]])
+    return [np.unique(h[a:b]) for a, b in zip(edge[:-1], edge[1:])]
+
+
+def fingerprints_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(rows, WORDS): a bit is 1 if set in over half of the text's different shingles; zero for a text without words."""
+    return _fingerprints(shingle_sets(data, at))
+
+
+def _fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(sets), WORDS), np.uint64)
+    for k, own in enumerate(sets):
+        if not len(own):
+            continue
         ones = np.zeros(BITS, np.int64)
         for start in range(0, len(own), _RUN):
             bits = np.unpackbits(_mixed(own[start : start + _RUN]).view(np.uint8), axis=1, bitorder="little")
@@ -73,17 +91,55 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(fixed.buffers()[1], np.uint64).reshape(-1, WORDS)[fixed.offset : fixed.offset + len(fixed)]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp): 64 bytes for each row of docs."""
+def key_of(own: np.ndarray) -> int:
+    """A signed 64-bit number that stands for a set of shingles."""
+    return int.from_bytes(blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def prefix_of(own: np.ndarray, similarity: float, heavy: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in an order that all sets share: two sets as similar as asked have one of them in common."""
+    if len(heavy) and len(own):
+        place = np.minimum(np.searchsorted(heavy, own), len(heavy) - 1)
+        own = own[np.argsort(np.where(heavy[place] == own, weight[place], 0), kind="stable")]
+    return own[: len(own) - int(np.ceil(similarity * len(own) - EPS)) + 1 if len(own) else 0]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
+
+
+def heavy_shingles(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of many texts in order, and how often a sample of the texts has each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(*utf8(part.column("_text")))]).view(np.int64))], ["token"])
+
+    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(HEAVY_SHARE)) == 0).select(F.col(text_col).cast("string").alias("_text"))
+    counts = some.mapInArrow(run, "token bigint").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= HEAVY_LEAST)
+    got = counts.orderBy(F.desc("n"), "token").limit(HEAVY_MOST).toArrow()
+    token, n = got["token"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(id_col, fp, key, n, prefix) for each row of docs: 64 bytes, and its set of shingles by number, size and prefix."""
     kind = docs.schema[id_col].dataType.simpleString()
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                yield pa.RecordBatch.from_arrays([part.column("_id"), _binary(fingerprints_of(*utf8(part.column("_text"))))], ["_id", "fp"])
+                sets = shingle_sets(*utf8(part.column("_text")))
+                keys, sizes = pa.array([key_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32())
+                prefixes = _lists([prefix_of(x, similarity, *heavy.value) for x in sets])
+                yield pa.RecordBatch.from_arrays([part.column("_id"), _binary(_fingerprints(sets)), keys, sizes, prefixes], ["_id", "fp", "key", "n", "prefix"])
 
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return picked.mapInArrow(run, f"_id {kind}, fp binary").withColumnRenamed("_id", id_col)
+    return picked.mapInArrow(run, f"_id {kind}, fp binary, key bigint, n int, prefix array<bigint>").withColumnRenamed("_id", id_col)
 
 
 @cache
@@ -190,18 +246,98 @@ def links(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def candidates(token: np.ndarray, key: np.ndarray, component: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of sets that share a token, are in different components and whose sizes and places allow the similarity.
+
+    at: the token's place in the set's order.  Where it is the first that two sets share, no more than what follows it
+    is common to both.  Yields key, component, key, component of pairs; a pair may come for more than one token.
+    """
+    order = np.lexsort((component, token))
+    token, key, component, n, at = (x[order] for x in (token, key, component, n, at))
+    size = len(token)
+    new = np.concatenate(([True], token[1:] != token[:-1])) if size else np.zeros(0, bool)
+    run = new | np.concatenate(([True], component[1:] != component[:-1])) if size else new
+
+    def ends(starts: np.ndarray) -> np.ndarray:
+        first = np.flatnonzero(starts)
+        last = np.append(first[1:], size)
+        return np.repeat(last, last - first)
+
+    after = ends(run)
+    count = ends(new) - after
+    rows = np.flatnonzero(count)
+    work = np.concatenate(([0], np.cumsum(count[rows])))
+    start = 0
+    while start < len(rows):
+        end = max(start + 1, int(np.searchsorted(work, work[start] + cells, side="right")) - 1)
+        own = rows[start:end]
+        c = count[own]
+        left = np.repeat(own, c)
+        right = np.repeat(after[own], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        most = np.minimum(n[left] - at[left], n[right] - at[right])
+        fits = most * (1 + similarity) >= similarity * (n[left].astype(np.int64) + n[right]) - EPS
+        left, right = left[fits], right[fits]
+        if len(left):
+            yield key[left], component[left], key[right], component[right]
+        start = end
+
+
+def left_out(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """prints: rows of ``fingerprints`` with their component.  Returns (a, b): components that hold texts of Jaccard ``similarity`` or more.
+
+    Exact but for equal hashes of 64 bits: texts of different components that share a shingle of their prefixes are
+    compared by all their shingles.
+    """
+    spark = prints.sparkSession
+    known = prints.where("component_id is not null and n > 0")
+    reps = known.groupBy("key").agg(F.min(id_col).alias(id_col))
+    own = known.join(reps, ["key", id_col])
+    dealt = own.select("key", "component_id", "n", F.posexplode("prefix").alias("at", "token"))
+    total = known.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_SHINGLES))
+    names = ["a", "ca", "b", "cb"]
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[b.column(c).to_numpy() for c in ("token", "key", "component_id", "n", "at")] for b in batches if b.num_rows]
+        for a, ca, b, cb in candidates(*(np.concatenate(x) for x in zip(*got)), similarity) if got else ():
+            swap = a > b
+            columns = [np.where(swap, y, x) for x, y in ((a, b), (ca, cb), (b, a), (cb, ca))]
+            yield pa.Table.from_arrays([pa.array(c) for c in columns], names).group_by(names).aggregate([]).combine_chunks().to_batches()[0].select(names)
+
+    pairs = written(dealt.repartition(parts, "token").mapInArrow(pair, "a bigint, ca bigint, b bigint, cb bigint").distinct(), "pairs")
+    nodes = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                sets = shingle_sets(*utf8(part.column("_text")))
+                yield pa.RecordBatch.from_arrays([pa.array([key_of(x) for x in sets], pa.int64()), _lists(sets)], ["key", "shingles"])
+
+    asked = reps.join(nodes, "key").select(F.col(id_col).alias("_id")).distinct()
+    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(asked, "_id", "left_semi")
+    sets = written(texts.select("_text").mapInArrow(whole, "key bigint, shingles array<bigint>"), "sets").dropDuplicates(["key"])
+    x, y = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    alike = both * (1 + similarity) >= similarity * (F.size("x") + F.size("y")) - EPS
+    return pairs.join(x, "a").join(y, "b").where(alike).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id_col, fingerprint, component_id) for every row of docs; texts of Jaccard ``similarity`` or more are to link.
+    """(id_col, fingerprint, component_id) for every row of docs; texts of Jaccard ``similarity`` or more link.
 
     Words and lower case as in ``simhash``; shingles are the different runs of five words (fewer words: the whole
-    sequence).  The likeness is estimated from 512 bits, so a pair near the limit may fall on either side.  Texts that
-    are null or without words are copies of each other.  component_id is the smallest non-null id reachable.  Rows with
-    a null id are fingerprinted and get the component of their fingerprint, null if no row with an id shares it.
-    Repeated rows stay repeated; extra columns are ignored; an empty table gives no rows.  Equal fingerprints are
-    merged before any comparison and each task returns a forest, so a large group never becomes all its pairs.
+    sequence).  Texts link by an estimate from 512 bits, so a pair somewhat below the limit may link; pairs at or above
+    it that the estimate leaves out link by ``left_out``.  Texts that are null or without words are copies of each
+    other.  component_id is the smallest non-null id reachable.  Rows with a null id are fingerprinted and get the
+    component of their fingerprint, null if no row with an id shares it.  Repeated rows stay repeated; extra columns are
+    ignored; an empty table gives no rows.  Equal fingerprints are merged before any comparison and each task returns a
+    forest, so a large group never becomes all its pairs.
     """
-    prints = written(fingerprints(docs, id_col, text_col), "copies")
+    prints = written(fingerprints(docs, id_col, text_col, similarity), "copies")
     distinct = written(prints.groupBy("fp").agg(F.min(F.col(id_col).cast("bigint")).alias("rep")), "prints")
     found = components(links(distinct.where("rep is not null"), similarity))
-    named = distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    named = written(distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
+    every = prints.withColumn(id_col, F.col(id_col).cast("bigint")).where(F.col(id_col).isNotNull()).join(named, "fp").select(id_col, "key", "n", "prefix", "component_id")
+    more = components(left_out(docs, every, id_col, text_col, similarity))
+    named = named.join(more, named.component_id == more.node, "left").select("fp", F.coalesce("component", "component_id").alias("component_id"))
     return prints.join(named, "fp").select(id_col, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
