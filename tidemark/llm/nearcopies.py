@@ -3,7 +3,8 @@
 A 64-bit fingerprint at 4 differing bits finds few texts of Jaccard 0.8, which differ in about 15 of 100 bits.  Here a
 fingerprint has 512 bits, and 48 samples of 22 of them each have their own covering code.  A fingerprint goes to every
 anchor within the covering radius in each sample, and two that meet anywhere link if all 512 bits are alike enough.
-Pairs that this leaves out are found by a prefix join on shingles and compared by their whole sets of shingles.
+Pairs that this leaves out are found by a prefix join on shingles, sieved by the parities of their shingles and compared
+by their whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, slices, utf8, written
+from .common import components, discard, slices, utf8, written
 from .simhash import SEED, forest, hamming, shingle_hashes
 
 SHINGLE = 5
@@ -39,6 +40,10 @@ _RUN = 255  # shingles summed in one byte
 HEAVY_SHARE, HEAVY_LEAST, HEAVY_MOST = 32, 3, 1 << 18
 #: Shingles of prefixes that a task takes, on average: 32 bytes each.
 TASK_SHINGLES = 500_000
+#: Bits of a parity map for each shingle, at least.
+PARITIES = 2
+#: Ids up to which a list of texts to compare is broadcast (16 bytes each); a longer one is joined by shuffle.
+BROADCAST_ROWS = 500_000
 EPS = 1e-9
 
 
@@ -104,6 +109,38 @@ def prefix_of(own: np.ndarray, similarity: float, heavy: np.ndarray, weight: np.
     return own[: len(own) - int(np.ceil(similarity * len(own) - EPS)) + 1 if len(own) else 0]
 
 
+def parities_of(own: np.ndarray) -> bytes:
+    """For each value of the lowest bits of a hash, whether an odd number of shingles has it; the size is a power of two."""
+    size = 1 << max(6, (PARITIES * len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def may_be_alike(x: pa.Array, y: pa.Array, n: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets with the parities x and y and n shingles together can be as similar as asked.
+
+    Each parity that differs takes a shingle that only one of the two has, so no alike pair is left out.  The larger map
+    is folded to the size of the smaller.
+    """
+    x, y = x.cast(pa.large_binary()), y.cast(pa.large_binary())
+    data, at, size = [], [], []
+    for column in (x, y):
+        _, offsets, raw = column.buffers()
+        edge = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+        data.append(np.frombuffer(raw, np.uint8)), at.append(edge[:-1]), size.append(np.diff(edge))
+    apart = np.zeros(len(n), np.int64)
+    for p, q in np.unique(np.stack(size, axis=1), axis=0):
+        rows = np.flatnonzero((size[0] == p) & (size[1] == q))
+        step = max(1, (1 << 20) // int(max(p, q)))
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
+            maps = [d[a[part][:, None] + np.arange(width)] for d, a, width in zip(data, at, (p, q))]
+            least = int(min(p, q))
+            a, b = (np.bitwise_xor.reduce(m.reshape(len(part), -1, least), axis=1) for m in maps)
+            apart[part] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return (n - apart) * (1 + similarity) >= 2 * (similarity * n - EPS)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
@@ -126,7 +163,7 @@ def heavy_shingles(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndar
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id_col, fp, key, n, prefix) for each row of docs: 64 bytes, and its set of shingles by number, size and prefix."""
+    """(id_col, fp, key, n, prefix, odd) for each row of docs: 64 bytes, and its set of shingles by number, size, prefix and parities."""
     kind = docs.schema[id_col].dataType.simpleString()
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, id_col, text_col))
 
@@ -136,10 +173,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 sets = shingle_sets(*utf8(part.column("_text")))
                 keys, sizes = pa.array([key_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32())
                 prefixes = _lists([prefix_of(x, similarity, *heavy.value) for x in sets])
-                yield pa.RecordBatch.from_arrays([part.column("_id"), _binary(_fingerprints(sets)), keys, sizes, prefixes], ["_id", "fp", "key", "n", "prefix"])
+                odd = pa.array([parities_of(x) for x in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("_id"), _binary(_fingerprints(sets)), keys, sizes, prefixes, odd], ["_id", "fp", "key", "n", "prefix", "odd"])
 
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return picked.mapInArrow(run, f"_id {kind}, fp binary, key bigint, n int, prefix array<bigint>").withColumnRenamed("_id", id_col)
+    return picked.mapInArrow(run, f"_id {kind}, fp binary, key bigint, n int, prefix array<bigint>, odd binary").withColumnRenamed("_id", id_col)
 
 
 @cache
@@ -282,19 +320,35 @@ def candidates(token: np.ndarray, key: np.ndarray, component: np.ndarray, n: np.
         start = end
 
 
-def left_out(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """prints: rows of ``fingerprints`` with their component.  Returns (a, b): components that hold texts of Jaccard ``similarity`` or more.
+def sieved(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, ca, b, cb) without those whose parities tell that they are less similar than asked."""
+    names = ["a", "ca", "b", "cb"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n = batch.column("n").to_numpy().astype(np.int64) + batch.column("m").to_numpy()
+                yield batch.select(names).filter(pa.array(may_be_alike(batch.column("x"), batch.column("y"), n, similarity)))
+
+    maps = prints.where("n > 0").select("key", "n", "odd").dropDuplicates(["key"])
+    x, y = maps.select(F.col("key").alias("a"), "n", F.col("odd").alias("x")), maps.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("odd").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select(*names, "n", "x", "m", "y").mapInArrow(run, "a bigint, ca bigint, b bigint, cb bigint")
+
+
+def left_out(docs: DataFrame, prints: DataFrame, named: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """prints: rows of ``fingerprints``; named: their fp with its component.  Returns (a, b): components that hold texts of Jaccard ``similarity`` or more.
 
     Exact but for equal hashes of 64 bits: texts of different components that share a shingle of their prefixes are
-    compared by all their shingles.
+    compared by all their shingles, unless their parities tell that they are too different.
     """
     spark = prints.sparkSession
-    known = prints.where("component_id is not null and n > 0")
-    reps = known.groupBy("key").agg(F.min(id_col).alias(id_col))
-    own = known.join(reps, ["key", id_col])
-    dealt = own.select("key", "component_id", "n", F.posexplode("prefix").alias("at", "token"))
-    total = known.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_SHINGLES))
+    prints = prints.withColumn(id_col, F.col(id_col).cast("bigint")).where(F.col(id_col).isNotNull() & (F.col("n") > 0))
+    known = prints.select(id_col, "fp", "key", "n").join(named.where("component_id is not null"), "fp")
+    # equal sets have equal fingerprints, so they are in one component
+    reps = written(known.groupBy("key").agg(F.min(id_col).alias(id_col), F.min("component_id").alias("component_id"), F.min("n").alias("n")), "reps")
+    dealt = prints.select("key", id_col, "n", "prefix").join(reps.drop("n"), ["key", id_col]).select("key", "component_id", "n", F.posexplode("prefix").alias("at", "token"))
+    total = reps.agg(F.sum(F.col("n") * (1 - similarity) + 1)).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // TASK_SHINGLES))
     names = ["a", "ca", "b", "cb"]
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +358,8 @@ def left_out(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, sim
             columns = [np.where(swap, y, x) for x, y in ((a, b), (ca, cb), (b, a), (cb, ca))]
             yield pa.Table.from_arrays([pa.array(c) for c in columns], names).group_by(names).aggregate([]).combine_chunks().to_batches()[0].select(names)
 
-    pairs = written(dealt.repartition(parts, "token").mapInArrow(pair, "a bigint, ca bigint, b bigint, cb bigint").distinct(), "pairs")
+    found = written(dealt.repartition(parts, "token").mapInArrow(pair, "a bigint, ca bigint, b bigint, cb bigint").distinct(), "pairs")
+    pairs = written(sieved(found, prints, similarity), "pairs", instead=found)
     nodes = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,13 +368,18 @@ def left_out(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, sim
                 sets = shingle_sets(*utf8(part.column("_text")))
                 yield pa.RecordBatch.from_arrays([pa.array([key_of(x) for x in sets], pa.int64()), _lists(sets)], ["key", "shingles"])
 
-    asked = reps.join(nodes, "key").select(F.col(id_col).alias("_id")).distinct()
-    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(asked, "_id", "left_semi")
-    sets = written(texts.select("_text").mapInArrow(whole, "key bigint, shingles array<bigint>"), "sets").dropDuplicates(["key"])
-    x, y = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+    asked = written(reps.join(nodes, "key").select(F.col(id_col).alias("_id")).distinct(), "asked")
+    few = asked.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(asked) if few else asked, "_id", "left_semi")
+    sets = written(texts.select("_text").mapInArrow(whole, "key bigint, shingles array<bigint>"), "sets")
+    own = sets.dropDuplicates(["key"])
+    x, y = own.select(F.col("key").alias("a"), F.col("shingles").alias("x")), own.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     alike = both * (1 + similarity) >= similarity * (F.size("x") + F.size("y")) - EPS
-    return pairs.join(x, "a").join(y, "b").where(alike).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    out = written(pairs.join(x, "a").join(y, "b").where(alike).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "alike")
+    for done in (reps, pairs, asked, sets):
+        discard(done)
+    return out
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -337,7 +397,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = written(prints.groupBy("fp").agg(F.min(F.col(id_col).cast("bigint")).alias("rep")), "prints")
     found = components(links(distinct.where("rep is not null"), similarity))
     named = written(distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
-    every = prints.withColumn(id_col, F.col(id_col).cast("bigint")).where(F.col(id_col).isNotNull()).join(named, "fp").select(id_col, "key", "n", "prefix", "component_id")
-    more = components(left_out(docs, every, id_col, text_col, similarity))
+    more = components(left_out(docs, prints, named, id_col, text_col, similarity))
     named = named.join(more, named.component_id == more.node, "left").select("fp", F.coalesce("component", "component_id").alias("component_id"))
     return prints.join(named, "fp").select(id_col, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
