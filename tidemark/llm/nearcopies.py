@@ -284,7 +284,7 @@ def links(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def candidates(token: np.ndarray, key: np.ndarray, component: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+def candidates(token: np.ndarray, key: np.ndarray, component: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float, cells: int = 1 << 17) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs of sets that share a token, are in different components and whose sizes and places allow the similarity.
 
     at: the token's place in the set's order.  Where it is the first that two sets share, no more than what follows it
@@ -356,7 +356,7 @@ def left_out(docs: DataFrame, prints: DataFrame, named: DataFrame, id_col: str,
         for a, ca, b, cb in candidates(*(np.concatenate(x) for x in zip(*got)), similarity) if got else ():
             swap = a > b
             columns = [np.where(swap, y, x) for x, y in ((a, b), (ca, cb), (b, a), (cb, ca))]
-            yield pa.Table.from_arrays([pa.array(c) for c in columns], names).group_by(names).aggregate([]).combine_chunks().to_batches()[0].select(names)
+            yield pa.Table.from_arrays([pa.array(c) for c in columns], names).group_by(names, use_threads=False).aggregate([]).combine_chunks().to_batches()[0].select(names)
 
     found = written(dealt.repartition(parts, "token").mapInArrow(pair, "a bigint, ca bigint, b bigint, cb bigint").distinct(), "pairs")
     pairs = written(sieved(found, prints, similarity), "pairs", instead=found)

@@ -234,6 +234,28 @@ def _expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(edge - start, n)
 
 
+def covered(at: np.ndarray, ids: np.ndarray, place: np.ndarray, number: np.ndarray, runs: np.ndarray, run: np.ndarray, owner: np.ndarray, step: int = 50_000) -> np.ndarray:
+    """Whether each byte of the texts with edges ``at`` lies in a string whose least owner is smaller than its own text's id.
+
+    place, number: where each piece starts, and which one it is; runs: how many runs of strings with one least owner each
+    different piece has, in ``run`` and ``owner``.  A block is counted in place, four bytes for each of its own.
+    """
+    edge = np.concatenate(([0], np.cumsum(runs, dtype=np.int64)))
+    change = np.zeros(int(at[-1]) + 1, np.int32)
+    for k in range(0, len(place), step):
+        p, num = place[k : k + step], number[k : k + step].astype(np.int64)
+        n = runs[num].astype(np.int64)
+        which = _expand(edge[num], n)
+        length = run[which].astype(np.int64)
+        done = np.cumsum(length) - length
+        first = np.repeat(p - done[np.cumsum(n) - n], n) + done  # where each run of strings starts
+        mine = np.repeat(ids[np.searchsorted(at, p, side="right") - 1], n)
+        bad = owner[which] < mine
+        np.add.at(change, first[bad], 1)
+        np.add.at(change, first[bad] + length[bad] + LENGTH - 1, -1)
+    return np.cumsum(change[:-1], dtype=np.int32, out=change[:-1]) > 0
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept): each text as UTF-8 bytes without its repeated passages.
 
@@ -349,23 +371,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 place, number = unpacked(f.read())
             got = [unpacked(p) for p in payloads]  # deals in order, so pieces in the order of their numbers
             runs, run, owner = (np.concatenate([g[k] for g in got]) for k in range(3))
-            runs, run = runs.astype(np.int64), run.astype(np.int64)
-            edge = np.concatenate(([0], np.cumsum(runs)))
-            ids = batch.column("id").to_numpy()
             _, at = utf8(batch.column("text"))
-            change = np.zeros(int(at[-1]) + 1, np.int64)
-            for k in range(0, len(place), 200_000):
-                p, num = place[k : k + 200_000], number[k : k + 200_000].astype(np.int64)
-                n = runs[num]
-                which = _expand(edge[num], n)
-                length = run[which]
-                done = np.cumsum(length) - length
-                first = np.repeat(p - done[np.cumsum(n) - n], n) + done  # where each run of strings starts
-                mine = np.repeat(ids[np.searchsorted(at, p, side="right") - 1], n)
-                bad = owner[which] < mine
-                np.add.at(change, first[bad], 1)
-                np.add.at(change, first[bad] + length[bad] + LENGTH - 1, -1)
-            gone = np.cumsum(change[:-1]) > 0
+            gone = covered(at, batch.column("id").to_numpy(), place, number, runs, run, owner)
         base = 0
         for part in slices(batch, "text"):
             data, at = utf8(part.column("text"))
