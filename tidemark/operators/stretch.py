@@ -20,6 +20,11 @@ from pyspark.sql import functions as F
 STRETCH = 100_000
 BUCKET_MS = 86_400_000
 
+#: Points of a stretch whose moments are summed at once; what they come to is merged in LONG, so that neither the length of
+#: a series nor that of a stretch costs digits.
+PART = 2000
+LONG = np.longdouble
+
 log = logging.getLogger(__name__)
 Kernel = Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]
 
@@ -95,20 +100,21 @@ def over(df: DataFrame, kernel: Kernel, results: str = "centre double, distance
 def carried(df: DataFrame) -> DataFrame:
     """(keys, _stretch, n0, mean0, m0, low0, high0): count, mean, squared deviations and ends of all stretches before.
 
-    One row for each stretch; they are merged in order, so that what comes later, or a spike, costs no digits.
+    One row for each stretch; its parts are merged in order, so that what comes later, or a spike, costs no digits.
     """
     keys = keys_of(df)
-    own = df.withColumn("_stretch", F.floor(F.col("n") / STRETCH)).groupBy(*keys, "_stretch")
+    own = df.withColumn("_stretch", F.floor(F.col("n") / STRETCH)).withColumn("_part", F.floor(F.pmod("n", F.lit(STRETCH)) / PART)).groupBy(*keys, "_stretch", "_part")
     parts = own.agg(F.count("*").alias("c"), F.avg("v").alias("m"), (F.var_pop("v") * F.count("*")).alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, n, mean, square, low, high = None, 0, 0.0, 0.0, np.inf, -np.inf
+        now, n, mean, square, low, high = None, 0, LONG(0), LONG(0), np.inf, -np.inf
         for batch in batches:
             out = []
-            for *key, stretch, c, m, q, lo, hi in zip(*(x.to_pylist() for x in batch.columns)):
+            for *key, stretch, part, c, m, q, lo, hi in zip(*(x.to_pylist() for x in batch.columns)):
                 if key != now:
-                    now, n, mean, square, low, high = key, 0, 0.0, 0.0, np.inf, -np.inf
-                out.append((*key, stretch, n, mean, square, low, high))
+                    now, n, mean, square, low, high = key, 0, LONG(0), LONG(0), np.inf, -np.inf
+                if part == 0:
+                    out.append((*key, stretch, n, float(mean), float(square), low, high))
                 gap = m - mean
                 n, before = n + c, n
                 mean += gap * c / n
@@ -119,7 +125,7 @@ def carried(df: DataFrame) -> DataFrame:
     names = [*keys, "_stretch", "n0", "mean0", "m0", "low0", "high0"]
     fields = [pa.field(k, pa.string()) for k in keys] + [pa.field(k, pa.int64()) for k in names[len(keys) : len(keys) + 2]] + [pa.field(k, pa.float64()) for k in names[-4:]]
     schema = ", ".join(f"{k} {kind}" for k, kind in zip(names, ["string"] * len(keys) + ["bigint"] * 2 + ["double"] * 4))
-    return parts.repartition(*keys).sortWithinPartitions(*keys, "_stretch").mapInArrow(run, schema)
+    return parts.repartition(*keys).sortWithinPartitions(*keys, "_stretch", "_part").mapInArrow(run, schema)
 
 
 #: Windows up to which every one is summed by itself.
@@ -186,11 +192,14 @@ def last_moments(v: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def all_moments(v: np.ndarray, n0: int = 0, mean0: float = 0.0, m0: float = 0.0, low0: float = np.inf, high0: float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same of all values before, those of earlier stretches (count, mean, squared deviations, ends) included."""
+    """The same of all values before, those of earlier stretches (count, mean, squared deviations, ends) included.
+
+    Running sums are of LONG: what doubles lose over a stretch shows in a digit that is rounded.
+    """
     i = np.arange(len(v))
-    centre = np.median(v) if len(v) else 0.0
+    centre = LONG(np.median(v)) if len(v) else LONG(0)
     d = v - centre
-    s, q = (np.concatenate(([0.0], np.cumsum(x)[:-1])) for x in (d, d * d))
+    s, q = (np.concatenate((np.zeros(1, LONG), np.cumsum(x)[:-1])) for x in (d, d * d))
     own_mean, own_square = centre + s / np.maximum(i, 1), np.maximum(q - s * s / np.maximum(i, 1), 0)
     n = n0 + i
     gap = np.where(i > 0, own_mean - mean0, 0.0) if n0 else 0.0
@@ -199,4 +208,5 @@ def all_moments(v: np.ndarray, n0: int = 0, mean0: float = 0.0, m0: float = 0.0,
     low, high = (np.concatenate(([e], f.accumulate(np.concatenate(([e], v[:-1])))[1:])) if len(v) else v for f, e in ((np.minimum, low0), (np.maximum, high0)))
     flat = (n > 0) & (low == high)
     mean, square = np.where(flat, low, mean), np.where(flat, 0.0, square)
-    return n, np.where(n > 0, mean, np.nan), np.where(n > 0, np.sqrt(square / np.maximum(n - 1, 1)), np.nan)
+    mean, deviation = mean.astype(np.float64), np.sqrt(square / np.maximum(n - 1, 1)).astype(np.float64)
+    return n, np.where(n > 0, mean, np.nan), np.where(n > 0, deviation, np.nan)
