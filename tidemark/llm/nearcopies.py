@@ -39,7 +39,7 @@ _RUN = 255  # shingles summed in one byte
 #: last in every prefix.  Any order gives the same links, this one compares fewer texts.
 HEAVY_SHARE, HEAVY_LEAST, HEAVY_MOST = 32, 3, 1 << 18
 #: Shingles of prefixes that a task takes, on average: 32 bytes each.
-TASK_SHINGLES = 500_000
+TASK_SHINGLES = 250_000
 #: Bits of a parity map for each shingle, at least.
 PARITIES = 2
 #: Ids up to which a list of texts to compare is broadcast (16 bytes each); a longer one is joined by shuffle.
@@ -274,8 +274,10 @@ def links(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column("anchor").to_numpy(), _words(b.column("fp")), b.column("rep").to_numpy()) for b in batches if b.num_rows]
-        if got:
-            a, b = meet(*(np.concatenate(x) for x in zip(*got)), most)
+        columns = [np.concatenate(x) for x in zip(*got)]
+        del got  # or Arrow holds the rows a second time
+        if columns:
+            a, b = meet(*columns, most)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     conf = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -353,7 +355,9 @@ def left_out(docs: DataFrame, prints: DataFrame, named: DataFrame, id_col: str,
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[b.column(c).to_numpy() for c in ("token", "key", "component_id", "n", "at")] for b in batches if b.num_rows]
-        for a, ca, b, cb in candidates(*(np.concatenate(x) for x in zip(*got)), similarity) if got else ():
+        columns = [np.concatenate(x) for x in zip(*got)]
+        del got  # or Arrow holds the rows a second time
+        for a, ca, b, cb in candidates(*columns, similarity) if columns else ():
             swap = a > b
             columns = [np.where(swap, y, x) for x, y in ((a, b), (ca, cb), (b, a), (cb, ca))]
             yield pa.Table.from_arrays([pa.array(c) for c in columns], names).group_by(names, use_threads=False).aggregate([]).combine_chunks().to_batches()[0].select(names)
