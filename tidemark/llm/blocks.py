@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, utf8, written
+from .common import lean, scratch, utf8, written
 from .textkernel import U64
 from .tokenstore import Attempt, open_store
 
@@ -82,7 +82,7 @@ class Blocks:
             if now is not None:
                 yield from work(now, got)
 
-        return dealt.mapInArrow(run, schema)
+        return dealt.mapInArrow(lean(run), schema)
 
 
 def write_blocks(docs: DataFrame, id_col: str, text_col: str, flags: dict[str, str] | None = None, keep: dict[str, str] | None = None) -> Blocks:
@@ -126,7 +126,7 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, flags: dict[str, s
         if held:
             yield flush()
 
-    return Blocks(spark, path, written(picked.mapInArrow(run, "block bigint, rows bigint, bytes bigint, true array<bigint>"), "blocks"))
+    return Blocks(spark, path, written(picked.mapInArrow(lean(run), "block bigint, rows bigint, bytes bigint, true array<bigint>"), "blocks"))
 
 
 def load(path: str, block: int) -> pa.RecordBatch:
@@ -190,4 +190,4 @@ def answered(asked: DataFrame, ranges: int, answer: Callable[[np.ndarray, np.nda
         if blobs:
             yield from emit(now, blocks, blobs)
 
-    return dealt.mapInArrow(run, "block bigint, place bigint, payload binary")
+    return dealt.mapInArrow(lean(run), "block bigint, place bigint, payload binary")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
-from functools import cache
 from heapq import heapify, heappop, heappush
 from struct import pack
 from unicodedata import normalize
@@ -16,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, remembered, slices
+
 # The byte alphabet of byte-level vocabularies - printable bytes stand for themselves, the others take
 # the code points from 256 on in byte order.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -143,7 +144,7 @@ class Bpe:
         return " ".join([strings[i] for i in ids if i in strings])
 
 
-@cache
+@remembered
 def load(path: str) -> Bpe:
     """One vocabulary for each Python worker."""
     return Bpe(path)
@@ -161,19 +162,20 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            got = [bpe.encode_bytes(t) for t in batch.column("_text").to_pylist()]
-            columns = [
-                batch.column("_id"),
-                pa.array([len(a) // 4 for a, _ in got], pa.int64()),
-                pa.array([hashlib.sha256(a).hexdigest() for a, _ in got], pa.string()),
-                pa.array([hashlib.sha256(b.encode("utf-8")).hexdigest() for _, b in got], pa.string()),
-            ]
-            names = ["_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids:
-                columns += [pa.array([np.frombuffer(a, "<u4").astype(np.int32) for a, _ in got], pa.list_(pa.int32())), pa.array([b for _, b in got], pa.string())]
-                names += ["input_ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for part in slices(batch, "_text"):
+                got = [bpe.encode_bytes(t) for t in part.column("_text").to_pylist()]
+                columns = [
+                    part.column("_id"),
+                    pa.array([len(a) // 4 for a, _ in got], pa.int64()),
+                    pa.array([hashlib.sha256(a).hexdigest() for a, _ in got], pa.string()),
+                    pa.array([hashlib.sha256(b.encode("utf-8")).hexdigest() for _, b in got], pa.string()),
+                ]
+                names = ["_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if ids:
+                    columns += [pa.array([np.frombuffer(a, "<u4").astype(np.int32) for a, _ in got], pa.list_(pa.int32())), pa.array([b for _, b in got], pa.string())]
+                    names += ["input_ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", input_ids array<int>, decoded string" * ids
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return picked.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return picked.mapInArrow(lean(run, uses=load), schema).withColumnRenamed("_id", id_col)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +20,50 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 1000
 
 
+#: The ``remembered`` functions of this process.
+_REMEMBERED: list[Callable] = []
+
+
+def remembered(make: Callable) -> Callable:
+    """make, with its results kept in a Python worker until a ``lean`` task begins that doesn't use them."""
+    kept = cache(make)
+    _REMEMBERED.append(kept)
+    return kept
+
+
+def forget(but: Callable | None = None) -> None:
+    """Drop what ``remembered`` functions keep, but for one of them."""
+    held = [kept for kept in _REMEMBERED if kept is not but and kept.cache_info().currsize]
+    for kept in held:
+        kept.cache_clear()
+    if held:
+        gc.collect()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; Arrow's pool and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:
+        trim(0)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], uses: Callable | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work for mapInArrow; its task leaves no more in the Python worker than what the ``remembered`` function it uses keeps.
+
+    Spark uses a worker for one task after another, of any operator, beside an executor that has taken its whole heap.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(but=uses)
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

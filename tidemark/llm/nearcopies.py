@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, slices, utf8, written
+from .common import components, discard, lean, slices, utf8, written
 from .simhash import SEED, forest, hamming, shingle_hashes
 
 SHINGLE = 5
@@ -155,7 +155,7 @@ def heavy_shingles(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndar
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(*utf8(part.column("_text")))]).view(np.int64))], ["token"])
 
     some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(HEAVY_SHARE)) == 0).select(F.col(text_col).cast("string").alias("_text"))
-    counts = some.mapInArrow(run, "token bigint").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= HEAVY_LEAST)
+    counts = some.mapInArrow(lean(run), "token bigint").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= HEAVY_LEAST)
     got = counts.orderBy(F.desc("n"), "token").limit(HEAVY_MOST).toArrow()
     token, n = got["token"].to_numpy().view(np.uint64), got["n"].to_numpy()
     order = np.argsort(token)
@@ -177,7 +177,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column("_id"), _binary(_fingerprints(sets)), keys, sizes, prefixes, odd], ["_id", "fp", "key", "n", "prefix", "odd"])
 
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return picked.mapInArrow(run, f"_id {kind}, fp binary, key bigint, n int, prefix array<bigint>, odd binary").withColumnRenamed("_id", id_col)
+    return picked.mapInArrow(lean(run), f"_id {kind}, fp binary, key bigint, n int, prefix array<bigint>, odd binary").withColumnRenamed("_id", id_col)
 
 
 @cache
@@ -282,8 +282,8 @@ def links(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     conf = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(conf, -(-prints.count() // TASK_PRINTS))
-    dealt = prints.mapInArrow(deal, "anchor int, fp binary, rep bigint").repartition(parts, "anchor")
-    return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
+    dealt = prints.mapInArrow(lean(deal), "anchor int, fp binary, rep bigint").repartition(parts, "anchor")
+    return dealt.mapInArrow(lean(compare), "a bigint, b bigint").distinct()
 
 
 def candidates(token: np.ndarray, key: np.ndarray, component: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float, cells: int = 1 << 17) -> Iterator[tuple[np.ndarray, ...]]:
@@ -334,7 +334,7 @@ def sieved(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
 
     maps = prints.where("n > 0").select("key", "n", "odd").dropDuplicates(["key"])
     x, y = maps.select(F.col("key").alias("a"), "n", F.col("odd").alias("x")), maps.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("odd").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select(*names, "n", "x", "m", "y").mapInArrow(run, "a bigint, ca bigint, b bigint, cb bigint")
+    return pairs.join(x, "a").join(y, "b").select(*names, "n", "x", "m", "y").mapInArrow(lean(run), "a bigint, ca bigint, b bigint, cb bigint")
 
 
 def left_out(docs: DataFrame, prints: DataFrame, named: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
@@ -362,7 +362,7 @@ def left_out(docs: DataFrame, prints: DataFrame, named: DataFrame, id_col: str,
             columns = [np.where(swap, y, x) for x, y in ((a, b), (ca, cb), (b, a), (cb, ca))]
             yield pa.Table.from_arrays([pa.array(c) for c in columns], names).group_by(names, use_threads=False).aggregate([]).combine_chunks().to_batches()[0].select(names)
 
-    found = written(dealt.repartition(parts, "token").mapInArrow(pair, "a bigint, ca bigint, b bigint, cb bigint").distinct(), "pairs")
+    found = written(dealt.repartition(parts, "token").mapInArrow(lean(pair), "a bigint, ca bigint, b bigint, cb bigint").distinct(), "pairs")
     pairs = written(sieved(found, prints, similarity), "pairs", instead=found)
     nodes = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
 
@@ -375,7 +375,7 @@ def left_out(docs: DataFrame, prints: DataFrame, named: DataFrame, id_col: str,
     asked = written(reps.join(nodes, "key").select(F.col(id_col).alias("_id")).distinct(), "asked")
     few = asked.count() <= BROADCAST_ROWS
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(asked) if few else asked, "_id", "left_semi")
-    sets = written(texts.select("_text").mapInArrow(whole, "key bigint, shingles array<bigint>"), "sets")
+    sets = written(texts.select("_text").mapInArrow(lean(whole), "key bigint, shingles array<bigint>"), "sets")
     own = sets.dropDuplicates(["key"])
     x, y = own.select(F.col("key").alias("a"), F.col("shingles").alias("x")), own.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, slices, utf8, written
+from .common import discard, lean, slices, utf8, written
 from .textkernel import LOWER, U64, span_hashes, word_spans
 
 #: Slots of the hashed scorer: byte trigrams, shape 4-grams, and bands of the statistics.
@@ -220,7 +220,7 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = 4096) -> Scor
                 yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(n), pa.nulls(len(n), pa.int64())], ["pattern", "n", "h"])
         yield pa.RecordBatch.from_arrays([pa.nulls(len(least), pa.int64()), pa.nulls(len(least), pa.int64()), pa.array(least)], ["pattern", "n", "h"])
 
-    votes = written(text.mapInArrow(vote, "pattern bigint, n bigint, h bigint"), "votes")
+    votes = written(text.mapInArrow(lean(vote), "pattern bigint, n bigint, h bigint"), "votes")
     rows = votes.where("pattern is not null").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     if not rows:
         return Scorer(np.zeros(SLOTS), 0.0, 0.5, {})
@@ -242,7 +242,7 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = 4096) -> Scor
                 yield pa.RecordBatch.from_arrays([part.column("_h"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(y)], ["h", "x", "y"])
 
     once = text.where(F.col("_h") <= F.lit(picked)).groupBy("_h").agg(F.min("_text").alias("_text"))
-    sample = sorted(once.mapInArrow(featured, "h bigint, x binary, y double").collect(), key=lambda r: r.h)
+    sample = sorted(once.mapInArrow(lean(featured), "h bigint, x binary, y double").collect(), key=lambda r: r.h)
     if not sample:
         return Scorer(np.zeros(SLOTS), float(np.log(prior / (1 - prior))), prior, {})
     x = np.stack([np.frombuffer(r.x, np.float16).astype(np.float32) for r in sample])
@@ -266,7 +266,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(bad), pa.array(p), pa.array(p >= least)], ["_id", "n_votes_bad", "score", "kept"])
 
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return picked.mapInArrow(run, f"_id {kind}, n_votes_bad bigint, score double, kept boolean").withColumnRenamed("_id", id_col)
+    return picked.mapInArrow(lean(run), f"_id {kind}, n_votes_bad bigint, score double, kept boolean").withColumnRenamed("_id", id_col)
 
 
 def accepted(docs: DataFrame, scorer: Scorer, text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -281,7 +281,7 @@ def accepted(docs: DataFrame, scorer: Scorer, text_col: str = "text", least: flo
                 p = 1 / (1 + np.exp(-np.clip(features_of(data, at, stats) @ weights + bias, -30, 30)))
                 yield part.filter(pa.array((words > 0) & (p >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4096, least: float = LEAST) -> DataFrame:

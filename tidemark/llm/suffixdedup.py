@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import NULL_ID, QUESTION, answered, load, packed, questions, range_edges, ranges_for, unpacked, write_blocks
-from .common import slices, utf8, written
+from .common import lean, slices, utf8, written
 from .textkernel import U64, mix, span_hashes
 from .tokenstore import Attempt, open_store
 
@@ -360,7 +360,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([place]), pa.array([payload], pa.binary())], ["block", "place", "payload"])
 
     sent = blocks.each(cut, QUESTION, answers).repartition(deals, "place").sortWithinPartitions("place", "block")
-    told = written(sent.mapInArrow(match, "block bigint, place bigint, payload binary"), "owners")
+    told = written(sent.mapInArrow(lean(match), "block bigint, place bigint, payload binary"), "owners")
 
     def finish(block: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         batch = load(path, block)
